@@ -66,80 +66,72 @@ def share_out(sizes: Sequence[int], weights: Sequence[float], total: float, limi
 
 
 def mix(docs: DataFrame, schedule: Callable[[int], Schedule] = curriculum, share: float = 1.5, limit: float = 2.0, seed: int = 17, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """docs with a struct column `mix`: size, source_size, target, taken, passes, position.
+    """doc_id, h, source, size, source_size, target, taken, position and passes of each row.
 
-    size: words of the text (null: 0).  passes: one struct for each time that the mix takes of the document: words and
-    position.  taken: all those words.  Only the last document of a source's last pass may be taken in part, so a source's
-    taken words are its target, rounded.  position: that of the first pass, null if the document isn't taken.
+    h: the document's seeded hash.  size: words of the text (null: 0).  passes: one struct for each time that the mix takes of
+    the document, with words and position; taken: all those words; position: that of the first pass, null if there is none.
+    Only the last document of a source's last pass may be taken in part, so a source's taken words are its target, rounded.
 
     Nulls: a null source is a source of its own, the last one; null texts and empty texts have size 0 and are never taken.
-    Repeated rows and equal ids are taken one by one; their order among themselves doesn't show.  An empty table gives an
-    empty table.  Other columns, whatever their names, are kept.  The driver sees one row per source and no document.
+    Repeated rows and equal ids are taken one by one; their order among themselves doesn't show.  An empty table gives no
+    rows.  The driver sees one row per source and no document.  Texts are read once and not shuffled.
     """
     spark = docs.sparkSession
     keyed = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"),
-        docs[source].alias("source"),
-        F.coalesce(F.regexp_count(docs[text], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), docs[doc_id], docs[text]).alias("h"),
-        docs[doc_id].alias("id"),
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("h"),
+        F.col(source).alias("source"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
+    keyed, _ = materialize(keyed, "sizes")
     sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
     sizes.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    schedules = [schedule(i) for i in range(len(sizes))]
+    schedules = [tuple(map(tuple, schedule(i))) for i in range(len(sizes))]
     weights = [float(integral(s)[-1]) for s in schedules]
     targets = share_out([r["source_size"] for r in sizes], weights, share * sum(r["source_size"] for r in sizes), limit)
-    table = spark.createDataFrame([(i, r["source"], r["source_size"], t, round(t)) for i, (r, t) in enumerate(zip(sizes, targets, strict=True))], "rank int, source string, source_size long, target double, goal long")
-    bits = max(0, int(np.ceil(np.log2(max([1, *(r["n"] for r in sizes)]) / ROWS_PER_BUCKET)))) if sizes else 0
+    table = spark.createDataFrame([(i, r["source"], r["source_size"], t, round(t)) for i, (r, t) in enumerate(zip(sizes, targets, strict=True))], "rank int, s_source string, source_size long, target double, goal long")
+    bits = max(0, int(np.ceil(np.log2(max([1, *(r["n"] for r in sizes)]) / ROWS_PER_BUCKET))))
     keyed = keyed.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
 
     offsets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = offsets.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = offsets.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    o = offsets.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "base")
-    placed = placed.join(o, placed.source.eqNullSafe(o.o_source) & (placed.bucket == o.o_bucket))
-    s = table.select("rank", F.col("source").alias("s_source"), "source_size", "target", "goal")
-    placed = placed.join(F.broadcast(s), placed.source.eqNullSafe(s.s_source))  # one row per source
-
-    knots = {i: tuple(map(tuple, x)) for i, x in enumerate(schedules)}
-
-    @F.pandas_udf("double")
-    def position(rank: pd.Series, used: pd.Series) -> pd.Series:
-        out = np.empty(len(rank))
-        for r in rank.unique():
-            at = (rank == r).to_numpy()
-            out[at] = invert(knots[r], used.to_numpy()[at])
-        return pd.Series(out)
-
-    start = F.col("start") + F.col("base")
-    n_passes = F.greatest(F.lit(0), F.ceil((F.col("goal") - start) / F.greatest(F.col("source_size"), F.lit(1))).cast("int"))
-    placed = placed.withColumn("begin", start).withColumn("n", F.when(F.col("size") > 0, n_passes).otherwise(0))
-    first = position("rank", F.when(F.col("goal") > 0, (F.col("begin") + F.col("size") / 2) / F.col("goal")).otherwise(0.0))
-    words = lambda p: F.least(F.col("size"), F.col("goal") - (F.col("begin") + p * F.col("source_size")))
-    numbers = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
-    placed = placed.withColumn("position", F.when(F.col("n") > 0, first)).withColumn("words", F.transform(numbers, words))
+    placed = placed.join(offsets, placed.source.eqNullSafe(offsets.o_source) & (placed.bucket == offsets.o_bucket))
+    placed = placed.join(F.broadcast(table), placed.source.eqNullSafe(table.s_source))  # one row per source
+
+    @F.pandas_udf("array<double>")
+    def positions(rank: pd.Series, used: pd.Series) -> pd.Series:
+        """The training positions at which the rank-th source has used these shares of its target."""
+        sizes = used.map(len).to_numpy()
+        flat = np.concatenate([*used.to_numpy(), np.zeros(0)])
+        owner = np.repeat(rank.to_numpy(), sizes)
+        out = np.empty(len(flat))
+        for r in np.unique(owner):
+            out[owner == r] = invert(schedules[r], flat[owner == r])
+        return pd.Series(np.split(out, np.cumsum(sizes)[:-1]), index=rank.index)
+
+    begin, size, goal, whole = F.col("start") + F.col("base"), F.col("size"), F.col("goal"), F.col("source_size")
+    n = F.when(size > 0, F.greatest(F.lit(0), F.ceil((goal - begin) / F.greatest(whole, F.lit(1))))).otherwise(0).cast("int")
+    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    placed = placed.withColumn("words", F.transform(numbers, lambda p: F.least(size, goal - (begin + p * whole))))
+    used = F.transform("words", lambda w, p: (begin + p * whole + w / 2) / goal)
+    placed = placed.withColumn("at", positions("rank", used))
+    passes = F.transform("words", lambda w, p: F.struct(w.alias("words"), F.get("at", p).alias("position")))
     taken = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + x)
-    return placed.select("doc", F.struct("size", "source_size", "target", taken.alias("taken"), "words", "position", "rank", "begin", "goal").alias("mix"))
+    return placed.select("doc_id", "h", "source", "size", "source_size", "target", taken.alias("taken"), F.get("at", F.lit(0)).alias("position"), passes.alias("passes"))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: a row of docs for each time that a document is taken, sorted by training position.
+def mixed_documents(docs: DataFrame, seed: int = 17, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: a row of docs, with all columns, for each time that a document is taken, sorted by training position.
 
     A document that the end of its source's target cuts is given whole.  Documents that the mix doesn't take go."""
-    schedule = options.get("schedule", curriculum)
-    placed = mix(docs, **options)
-
-    @F.pandas_udf("double")
-    def position(rank: pd.Series, used: pd.Series) -> pd.Series:
-        out = np.empty(len(rank))
-        for r in rank.unique():
-            at = (rank == r).to_numpy()
-            out[at] = invert(schedule(int(r)), used.to_numpy()[at])
-        return pd.Series(out)
-
-    rows = placed.select("doc", "mix", F.posexplode("mix.words").alias("pass", "words"))
-    used = (F.col("mix.begin") + F.col("pass") * F.col("mix.source_size") + F.col("words") / 2) / F.col("mix.goal")
-    rows, _ = materialize(rows.select("doc", position("mix.rank", used).alias("at"), F.xxhash64("doc").alias("h")), "mix")
+    placed = mix(docs, seed=seed, text=text, doc_id=doc_id, **options).select("doc_id", "h", "passes")
+    nth = Window.partitionBy("doc_id", "h").orderBy(F.lit(0))  # tells repeated rows apart, nothing else
+    placed = placed.withColumn("nth", F.row_number().over(nth)).where(F.size("passes") > 0)
+    placed = placed.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), F.col("nth").alias("p_nth"), F.explode("passes.position").alias("at"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("h"))
+    rows = rows.withColumn("nth", F.row_number().over(nth))
+    rows = rows.join(placed, rows.doc_id.eqNullSafe(placed.p_id) & (rows.h == placed.p_h) & (rows.nth == placed.p_nth))
     return rows.repartitionByRange("at", "h").sortWithinPartitions("at", "h").select("doc.*")

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixing.mix(read_table(spark, sf_dir, "documents"))
-    rows = placed.select("doc.doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.position")
+    rows = placed.select("doc_id", "size", "source_size", "target", "taken", "position")
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
