@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, simhash
+from . import ego_join, langid, lm, mixing, quality, rindex, sentencepiece_scan, sharding, simhash, token_coder
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +28,79 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read_table(spark, sf_dir, "documents"))
 
 
+def op4_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex.repeats(read_table(spark, sf_dir, "documents"))
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_coder.ids_folder(spark, "ids")
+    token_coder.write_ids(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_coder.read_ids(spark, folder)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, bits=64, segment=32, distance=3)
     return out.drop("text_hash")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_ego_join, op5_lm_scoring, op6_language_id, op7_sentencepiece, op8_suffix_array, op9_token_ids, op10_simhash)}
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         embedding IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+component AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept
+FROM v JOIN component ON component.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(0, CAST(length(h) // 2 - 49 AS BIGINT)))) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.p FROM w JOIN f USING (s) WHERE f.first < w.doc_id),
+gap AS (SELECT doc_id, p, p - 50 > lag(p) OVER (PARTITION BY doc_id ORDER BY p) OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL AS new FROM hit),
+span AS (
+  SELECT doc_id, min(p) AS a, max(p) + 50 AS b
+  FROM (SELECT doc_id, p, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM gap) GROUP BY doc_id, k),
+piece AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM span
+  UNION ALL SELECT doc_id, max(b), NULL FROM span GROUP BY doc_id),
+rest AS (
+  SELECT doc_id, string_agg(CASE WHEN piece.b IS NULL THEN substr(h, 2 * a + 1) ELSE substr(h, 2 * a + 1, 2 * (piece.b - a)) END, '' ORDER BY a) AS h
+  FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n.k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_ego_join": OP4_SQL, "op8_suffix_array": OP8_SQL}
