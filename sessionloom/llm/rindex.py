@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .common import buckets_for, drop, materialize, text_bytes, text_slices
 
-MATCH, K, RUN, HOT = 50, 16, 64, 4096
+MATCH, K, RUN, HOT = 50, 24, 64, 4096
 #: Bytes of input for each bucket of anchors.
 BUCKET_BYTES = 8 << 20
 _SLICE = 1 << 18
@@ -74,7 +74,12 @@ class Runs:
         m = n - K + 1
         padded = data if n >= 8 else np.concatenate([data, np.zeros(8, np.uint8)])
         loads = np.ndarray((n - 7,), np.uint64, padded, 0, (1,))
-        h = _mix(loads[:m] * _C1 ^ (loads[8 : 8 + m] * _C2 + (loads[:m] >> np.uint64(31))))
+        h = loads[:m] * _C1
+        for at in range(8, K, 8):
+            h ^= h >> np.uint64(31)
+            h += loads[at : at + m] * _C2
+            h *= _C1
+        h = _mix(h)
         size = 1
         width = MATCH - K + 1
         while size < width:
@@ -123,18 +128,32 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return anchor, hashes, doc, ordinal
 
 
-_REPLY = np.dtype([("ordinal", "<i4"), ("anchor", "<u4"), ("code", "<u1")])
+_REPLY = np.dtype([("doc", "<i8"), ("ordinal", "<i4"), ("anchor", "<u4"), ("code", "<u1")])
 
 
-def _replies(doc: np.ndarray, ordinal: np.ndarray, anchor: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """One blob of replies for each document."""
-    order = np.argsort(doc, kind="stable")
+def _cut_at(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Rows in order of their keys as one blob for each key."""
+    order = np.argsort(key, kind="stable")
+    rows, key = rows[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    ends = np.append(first, len(key)) * rows.dtype.itemsize
+    return key[first], pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows.tobytes())])
+
+
+def _replies(doc: np.ndarray, ordinal: np.ndarray, anchor: np.ndarray, code: np.ndarray, groups: int) -> tuple[np.ndarray, pa.Array]:
+    """One blob of replies for each group of documents."""
     rows = np.empty(len(doc), _REPLY)
-    rows["ordinal"], rows["anchor"], rows["code"] = ordinal[order], anchor[order].astype(np.uint32), code[order]
-    doc = doc[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    ends = np.append(first, len(doc)) * _REPLY.itemsize
-    return doc[first], pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows.tobytes())])
+    rows["doc"], rows["ordinal"], rows["anchor"], rows["code"] = doc, ordinal, anchor.astype(np.uint32), code
+    return _cut_at(rows, (_mix(doc.astype(np.int64).view(np.uint64) * _C1) % np.uint64(groups)).astype(np.int64))
+
+
+def _by_document(rows: pa.Table) -> pa.Table:
+    """The replies of a group of documents, one blob for each document."""
+    told = np.frombuffer(b"".join(b.as_py() for b in rows["blob"]), _REPLY)
+    keys, blobs = _cut_at(told, told["doc"])
+    return pa.table({"key": pa.array(keys), "replies": blobs})
 
 
 def _firsts(anchor: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +166,7 @@ def _firsts(anchor: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> tuple[np
 
 
 def _scatter(n_buckets: int):
-    """Documents to (kind, key, blob): kind 0, runs for bucket `key`; kind 1, replies for document `key`."""
+    """Documents to (kind, key, blob): kind 0, runs for bucket `key`; kind 1, replies for the group `key` of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +182,7 @@ def _scatter(n_buckets: int):
             order, first, string = _firsts(anchor, hashes, doc)
             covered = doc[order] != doc[order[first]][string]
             at = order[covered]
-            keys, blobs = _replies(doc[at], ordinal[at], anchor[at], np.full(len(at), _COVERED, np.uint8))
+            keys, blobs = _replies(doc[at], ordinal[at], anchor[at], np.full(len(at), _COVERED, np.uint8), n_buckets)
             at = np.sort(order[~covered])
             bucket = ((anchor[at] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
@@ -177,7 +196,7 @@ def _scatter(n_buckets: int):
     return run
 
 
-def _meet(rows: pa.Table) -> pa.Table:
+def _meet(rows: pa.Table, groups: int) -> pa.Table:
     """The replies of a bucket of runs."""
     anchor, hashes, doc, ordinal = (np.concatenate(x) for x in zip(*(_unpack(b.as_py()) for b in rows["blob"]), strict=True))
     order, first, string = _firsts(anchor, hashes, doc)
@@ -194,7 +213,7 @@ def _meet(rows: pa.Table) -> pa.Table:
     code[covered] = _COVERED
     told = code != 255
     at = order[told]
-    keys, blobs = _replies(doc[at], ordinal[at], anchor[at], code[told])
+    keys, blobs = _replies(doc[at], ordinal[at], anchor[at], code[told], groups)
     return pa.table({"key": pa.array(keys), "blob": blobs})
 
 
@@ -220,7 +239,7 @@ def _take(n_buckets: int):
                 heads = np.searchsorted(runs.doc, np.arange(len(offsets)), "left")
                 picked, codes, spans = [], [], []
                 for d in range(len(offsets) - 1):
-                    told = np.frombuffer(b"".join(replies[row + d].as_py()), _REPLY)
+                    told = np.frombuffer(replies[row + d].as_py(), _REPLY)
                     told = told[told["ordinal"] < heads[d + 1] - heads[d]]
                     at = heads[d] + told["ordinal"]
                     same = runs.anchor[at].astype(np.uint32) == told["anchor"]
@@ -262,71 +281,86 @@ def _take(n_buckets: int):
     return run
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1."""
+    order = np.argsort(key)
+    step = np.ones(len(key), bool)
+    ordered = key[order]
+    step[1:] = ordered[1:] != ordered[:-1]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(step)
+    return rank
+
+
 class RunLengthIndex:
-    """A suffix array of strings, its Burrows-Wheeler transform's runs, and samples at the runs' ends."""
+    """An index of the suffixes of strings that have MATCH bytes or more.
+
+    suffix: places of the suffixes, in order of their first MATCH bytes.  A run of the transform is a stretch of suffixes with
+    one byte before them whose images, a byte longer, stand side by side too; only at the ends of runs is the common prefix
+    with the suffix before measured.  matching: that length for every place, streamed from the samples in text order."""
 
     def __init__(self, lengths: np.ndarray, chars: np.ndarray):
-        ends = np.cumsum(lengths + 1) - 1  # a separator, 0, after each string
-        n = int(ends[-1]) + 1
-        text = np.zeros(n + 8, np.uint8)
-        text[np.delete(np.arange(n), ends)] = chars + np.uint8(1)  # UTF-8 has no 255
-        self.string = np.repeat(np.arange(len(lengths)), lengths + 1)
-        self.rest = ends[self.string] - np.arange(n)
+        n = len(chars)
+        ends = np.cumsum(lengths)
+        counts = lengths - MATCH + 1
+        #: The string of each suffix, its place in the text, and its bytes.
+        self.string = np.repeat(np.arange(len(lengths)), counts)
+        self.place = np.arange(len(self.string)) + np.repeat(ends - lengths - np.cumsum(counts) + counts, counts)
+        self.rest = ends[self.string] - self.place
+        text = np.concatenate([chars, np.zeros(MATCH + 8, np.uint8)])
         loads = np.ndarray((n,), ">u8", text, 0, (1,)).astype(np.uint64)
-        keep = np.minimum(self.rest, 8).astype(np.uint64)
-        key = np.where(keep == 0, np.uint64(0), loads >> (np.uint64(64) - np.uint64(8) * keep) % np.uint64(64) << (np.uint64(64) - np.uint64(8) * keep) % np.uint64(64))
-        order = np.argsort(key, kind="stable")
-        reach = 8
-        while True:  # prefix doubling
-            sorted_key = key[order]
-            new = np.ones(n, bool)
-            new[1:] = sorted_key[1:] != sorted_key[:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            if reach >= int(lengths.max()) or new.all():
-                break
-            later = np.where(self.rest > reach, np.append(rank[reach:], np.zeros(min(reach, n), np.int64))[:n], 0)
-            key = rank * (n + 1) + later
-            order = np.argsort(key, kind="stable")
-            reach *= 2
-        self.suffix = order  # equal suffixes, up to their strings' ends, by place
-        before = np.where(order > 0, text[order - 1], 0)
-        self.head = np.ones(n, bool)  # of a run of the transform; separators are runs of their own
-        self.head[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)
-        rows = np.flatnonzero(self.head[1:]) + 1
-        a, b = order[rows], order[rows - 1]
+        ahead = lambda x, k: np.concatenate([x[k:], np.zeros(min(k, n), np.int64)])[:n]
+        rank = _ranks(loads)
+        rank = _ranks(rank * (n + 1) + ahead(rank, 8))  # of 16 bytes
+        later = np.zeros(n, bool)
+        later[self.place] = True
+        later[self.place + (MATCH - 32)] = True
+        need = np.flatnonzero(later)
+        of32 = np.zeros(n, np.int64)
+        of32[need] = _ranks(rank[need] * (n + 1) + ahead(rank, 16)[need])
+        key = of32[self.place] * (n + 1) + of32[self.place + (MATCH - 32)]  # 32 bytes, then the last 32 of MATCH
+        self.suffix = np.argsort(key)
+        row = np.empty(len(key), np.int64)
+        row[self.suffix] = np.arange(len(key))
+        starts = np.zeros(len(key), bool)
+        starts[np.cumsum(counts) - counts] = True
+        before = np.where(starts, 0, text[self.place - 1].astype(np.int64) + 1)
+        a, b = self.suffix[1:], self.suffix[:-1]
+        inner = (before[a] == before[b]) & (before[a] > 0)
+        inner[inner] = row[a[inner] - 1] == row[b[inner] - 1] + 1
+        rows = np.flatnonzero(~inner)
+        a, b = a[rows], b[rows]
         most = np.minimum(self.rest[a], self.rest[b])
+        p, q = self.place[a], self.place[b]
         common, live = np.zeros(len(rows), np.int64), np.arange(len(rows))
         while len(live):
             at = common[live]
-            x = loads[np.minimum(a[live] + at, n - 1)] ^ loads[np.minimum(b[live] + at, n - 1)]
+            x = loads[np.minimum(p[live] + at, n - 1)] ^ loads[np.minimum(q[live] + at, n - 1)]
             same = 8 - np.searchsorted(_OCTETS, x, "right")
             common[live] = np.minimum(at + same, most[live])
             live = live[(same == 8) & (at + 8 < most[live])]
-        self.sample = dict(rows=rows, common=common)
-        sampled, value = np.zeros(n, bool), np.zeros(n, np.int64)
-        sampled[order[0]] = True
+        sampled, value = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        sampled[self.suffix[0]] = True
         sampled[a] = True
         value[a] = common
-        last = np.maximum.accumulate(np.where(sampled, np.arange(n), 0))
-        #: Matching statistics: what each position has in common with the suffix before it in the index.
-        self.matching = value[last] - (np.arange(n) - last)
+        last = np.maximum.accumulate(np.where(sampled, np.arange(len(key)), 0))
+        self.matching = value[last] - (np.arange(len(key)) - last)
 
 
 def marked(lengths: np.ndarray, chars: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of each window of MATCH bytes that also is in a string of a smaller document."""
     index = RunLengthIndex(lengths, chars)
     order = index.suffix
-    first = np.flatnonzero(np.concatenate([[True], index.matching[order][1:] < MATCH]))
+    new = np.ones(len(order), bool)
+    new[1:] = index.matching[order[1:]] < MATCH
+    first = np.flatnonzero(new)
     owner = doc[index.string]
     low = np.minimum.reduceat(owner[order], first)
-    group = np.zeros(len(order), np.int64)
-    group[first[1:]] = 1
     least = np.empty(len(order), doc.dtype)
-    least[order] = low[np.cumsum(group)]
-    hit = np.flatnonzero((owner > least) & (index.rest >= MATCH))
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-    return index.string[hit], hit - starts[index.string[hit]]
+    least[order] = low[np.cumsum(new) - 1]
+    hit = np.flatnonzero(owner > least)
+    starts = np.cumsum(lengths) - lengths
+    return index.string[hit], index.place[hit] - starts[index.string[hit]]
 
 
 def _match(rows: pa.Table) -> pa.Table:
@@ -358,10 +392,10 @@ def _spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     key = F.when(F.col("kind") == 0, F.col("key")).otherwise(F.lit(-1) - F.pmod("key", F.lit(n_buckets)))
 
     def answer(rows: pa.Table) -> pa.Table:
-        return rows.select(["key", "blob"]) if rows["kind"][0].as_py() else _meet(rows)
+        return rows.select(["key", "blob"]) if rows["kind"][0].as_py() else _meet(rows, n_buckets)
 
     replies, replies_at = materialize(dealt.withColumn("group", key).groupBy("group").applyInArrow(answer, "key long, blob binary"), "replies")
-    told = replies.groupBy("key").agg(F.collect_list("blob").alias("replies"))
+    told = replies.groupBy("key").applyInArrow(_by_document, "key long, replies binary")
     rows = body.join(told, body.doc_id == told.key).select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "replies")
     taken, _ = materialize(rows.mapInArrow(_take(n_buckets), "bucket long, doc_id long, text_hash long, at int, body binary"), "strings")
     drop(spark, replies_at)
