@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-#: Characters of a word from which it is split into chunks, of a chunk, and words that a task keeps.
-GIANT, CHUNK, KEPT = 512, 256, 1 << 19
+#: Characters of a word from which it is split into chunks, of a chunk, words that a task keeps, and rows that it returns at once.
+GIANT, CHUNK, KEPT, ROWS = 512, 256, 1 << 18, 256
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 State = tuple[int, int]
 
@@ -70,7 +70,7 @@ class Encoder:
         """Weight 0 (true) or minus infinity of b after a."""
         found = self._joined.get((a, b))
         if found is None:
-            if len(self._joined) > 4 * KEPT:
+            if len(self._joined) > KEPT:
                 self._joined.clear()
             found = self._joined[a, b] = self.merge(a + b) == [a, b]
         return found
@@ -78,6 +78,8 @@ class Encoder:
     def single(self, a: str) -> bool:
         found = self._self.get(a)
         if found is None:
+            if len(self._self) > KEPT:
+                self._self.clear()
             found = self._self[a] = len(a) == 1 or self.merge(a) == [a]
         return found
 
@@ -261,16 +263,22 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", doc_id: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(model_path)
         for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                body = t.as_py() or ""
-                raw = coder.raw(body)
-                ids = np.frombuffer(raw, "<u4").tolist()
-                giant = sum(len(w) > GIANT for w in body.split(" ")) if len(body) > GIANT else 0
-                rows.append((len(ids), zlib.crc32(raw), giant, coder.decode(ids) == body.replace(SPACE, " "), ids))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            arrays = [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[4], pa.list_(pa.int32()))] * with_ids, ["doc_id", "n_tokens", "ids_crc32", "n_giant", "decoded"] + ["ids"] * with_ids)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                rows, raws = [], []
+                for t in part.column(1):
+                    body = t.as_py() or ""
+                    raw = coder.raw(body)
+                    giant = sum(len(w) > GIANT for w in body.split(" ")) if len(body) > GIANT else 0
+                    rows.append((len(raw) // 4, zlib.crc32(raw), giant, coder.decode(np.frombuffer(raw, "<u4").tolist()) == body.replace(SPACE, " ")))
+                    if with_ids:
+                        raws.append(raw)
+                columns = list(zip(*rows, strict=True))
+                arrays = [part.column(0), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.bool_())]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum(columns[0])]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_crc32", "n_giant", "decoded"] + ["ids"] * with_ids)
 
     fields = [T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("n_giant", T.LongType()), T.StructField("decoded", T.BooleanType())]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
