@@ -132,7 +132,7 @@ def safe_name(c: Column) -> Column:
     clean = F.when(F.trim(clean) == "", "artifact").otherwise(clean)
     octets = F.substring(clean.cast("binary"), 1, 180)
     whole = F.regexp_extract(F.hex(octets), "^((?:[0-7].|[CD]...|E.....|F.......)*)", 1)
-    return F.when(F.octet_length(clean) <= 180, clean).otherwise(F.decode(F.unhex(whole), F.lit("UTF-8")))
+    return F.when(F.octet_length(clean) <= 180, clean).otherwise(F.decode(F.unhex(whole), "UTF-8"))
 
 
 def safe_id(c: Column) -> Column:

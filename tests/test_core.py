@@ -1,0 +1,247 @@
+"""Operators of the core against literal expectations and sequential versions."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+from sessionloom.functions import redaction, text, tokens
+from sessionloom.functions.fuzzy import atoms
+from sessionloom.functions.ids import uuid5
+from sessionloom.operators import incremental, retrieval, scoring, search, structure, trim
+from sessionloom.plans import canonical as c
+from sessionloom.plans import catalogue
+
+
+def one(spark, value, f):
+    return spark.createDataFrame([(value,)], "x string").select(f(F.col("x"))).first()[0]
+
+
+def blocks(spark, rows):
+    """rows: (msg, role, type, body, tool id, is_error)."""
+    data = [("d", m, k, role, kind, body if kind in ("text", "thinking") else None, tid, "Bash" if kind == "tool_use" else None, body if kind == "tool_use" else None, body if kind == "tool_result" else None, err) for k, (m, role, kind, body, tid, err) in enumerate(rows)]
+    df = spark.createDataFrame(data, "doc string, msg_idx int, block_idx int, role string, type string, text string, tool_id string, tool_name string, tool_input_json string, result_text string, is_error boolean")
+    return c.blocks(df, **{k: F.col(k) for k in df.columns})
+
+
+def test_token_estimates(spark):
+    assert [one(spark, x, tokens.estimate) for x in ("", "a" * 8, "a" * 9, None)] == [0, 2, 3, 0]
+
+
+def test_find_and_fold(spark):
+    assert one(spark, "naïve needle here", lambda x: text.literal_find(x, "needle")) == 6
+    assert one(spark, "read the README first", lambda x: text.literal_find(x, "readme", "smart")) == 9
+    assert one(spark, "read the README first", lambda x: text.literal_find(x, "REadme", "smart")) is None
+    assert one(spark, "ΑΣ İ ÉA", text.fold) == "ασ İ éa" and one(spark, "ÉA", text.ascii_lower) == "Éa"
+
+
+def test_text_functions(spark):
+    assert one(spark, " a  b\n", text.one_line).strip() == "a b"
+    assert one(spark, "x  ", text.trim_end) == "x"
+    assert one(spark, "/a/b%20c/", text.project_label) == "b c" and one(spark, "/", text.project_label) is None
+    assert one(spark, "h:0123456789#4", text.short_locator) == "h:01234567#4"
+    assert one(spark, "\x1b[31mred\x1b[0m", text.strip_ansi) == "red"
+    assert one(spark, "é" * 200, text.safe_name) == "é" * 90 and one(spark, "a/b", text.safe_name) == "a_b" and one(spark, "..", text.safe_name) == "_"
+    assert one(spark, "file:///a%20b+c", text.file_uri_path) == "/a b+c"
+    assert text.query_terms("How did the Éa a-b.rs É redis timeout?") == ["Éa", "a-b.rs", "redis", "timeout"]
+    assert one(spark, "How did the Éa a-b.rs É redis timeout?", text.query_terms_of) == text.query_terms("How did the Éa a-b.rs É redis timeout?")
+    assert one(spark, "see (src/a.rs), b.ts!", text.path_terms_of) == retrieval.path_terms("see (src/a.rs), b.ts!") == ["src/a.rs", "b.ts"]
+
+
+def test_uuid5(spark):
+    import uuid
+
+    assert one(spark, "s:1:2", lambda x: uuid5(x, uuid.NAMESPACE_URL.bytes)) == str(uuid.uuid5(uuid.NAMESPACE_URL, "s:1:2"))
+
+
+@pytest.mark.parametrize("given, masked", [
+    ("MY_API_KEY=abc GITHUB_TOKEN: \"x y\"", 'MY_API_KEY=******** GITHUB_TOKEN: "********"'),
+    ("max_tokens=4000 PORT=3000 monkey=banana keyboard: qwerty", None),
+    ("a sk-" + "A" * 32 + " b", "a ******** b"),
+    ("sk-short", None),
+    ("-----BEGIN X\nabc\n-----END X\nrest", "********\nrest"),
+    ("-----BEGIN X\nabc", "********"),
+    ("eyJ" + "a" * 20 + ".b.c", "********"),
+    ("eyJ" + "a" * 20 + ".b.c.d", None),
+    ("password = 'a;b' x", "password = '********' x"),
+    ("token=abc;next", "token=********;next"),
+    ('token = ""', None),
+    ("my_password_name: z", "my_password_name: ********"),
+    ("Authorization: Bearer abcdefghijklmnop", "Authorization: ********"),
+])
+def test_masking(spark, given, masked):
+    assert one(spark, given, redaction.mask) == (given if masked is None else masked)
+    assert (one(spark, given, redaction.count) > 0) == (masked is not None)
+
+
+def test_islands_and_chunks(spark):
+    df = spark.createDataFrame([("d", i) for i in (0, 1, 2, 5, 6, 9)], "doc string, i int")
+    assert sorted((r.start, r.end) for r in structure.islands(df, ["doc"], "i").collect()) == [(0, 3), (5, 7), (9, 10)]
+    sizes = spark.createDataFrame([("d", i, s) for i, s in enumerate([40, 70, 200, 10, 80, 20])], "doc string, msg_idx int, bytes int")
+    assert sorted((r.start, r.end) for r in structure.byte_chunks(sizes, 100).collect()) == [(0, 1), (1, 2), (2, 3), (3, 5), (5, 6)]
+
+
+def test_pairs_crop_and_nearest(spark):
+    call, result = ("assistant", "tool_use", "{}", "t", False), ("user", "tool_result", "r", "t", False)
+    rows = blocks(spark, [(0, *call), (1, *result), (2, "user", "text", "x", None, False)])
+    spans = spark.createDataFrame([("d", 1, 3)], "doc string, start int, end int")
+    assert [(r.call, r.result) for r in structure.crop(rows, spans)[1].collect()] == [(0, 1)]
+    near = structure.nearest_span(structure.tool_pairs(rows), spans).first()
+    assert (near.near_start, near.near_end) == (0, 3)
+    pairs = spark.createDataFrame([("d", 5000, 9999)], "doc string, call int, result int")
+    near = structure.nearest_span(pairs, spark.createDataFrame([("d", 5000, 5001)], "doc string, start int, end int")).first()
+    assert (near.near_start, near.near_end) == (5000, 10000)
+    for kinds, bad in (([call, call, result], True), ([call, result, result], True), ([call, result, call, result], False), ([result, call, result], False)):
+        rows = blocks(spark, [(i, *k) for i, k in enumerate(kinds)])
+        assert (structure.ambiguous_sessions(rows).count() > 0) == bad and (structure.tool_pairs(rows).count() == 0) == bad
+
+
+def test_pair_groups_keep_the_reference_labels(spark):
+    pairs = spark.createDataFrame([("d", 3, 4, 0), ("d", 1, 3, 0), ("d", 5, 6, 0)], "doc string, call int, result int, result_block int")
+    counts = spark.createDataFrame([("d", 8)], "doc string, n int")
+    got = {r.msg_idx: r.grp for r in structure.pair_groups(pairs, counts).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7}
+
+
+def test_plan_literals(spark):
+    prose = blocks(spark, [(i, "user" if i % 2 == 0 else "assistant", "text", f"prose {i}", None, False) for i in range(3)])
+    assert {r.decision for r in trim.decide(prose).collect()} == {"keep"}
+    big = blocks(spark, [(0, "user", "text", "q", None, False), (1, "assistant", "tool_use", "{}", "t", False), (2, "user", "tool_result", "line\n" * 3000, "t", False)])
+    assert [trim.plan_report(trim.decide(big)).first()[k] for k in ("keep", "compress", "drop")] == [2, 1, 0]
+    failed = blocks(spark, [(0, "user", "text", "q", None, False), (1, "assistant", "tool_use", "{}", "t", False), (2, "user", "tool_result", "line\n" * 3000, "t", True)])
+    assert trim.decide(failed).where("msg_idx = 2").first().decision == "keep"
+    orphan = blocks(spark, [(i, "user", "tool_result", "same", f"t{i}", False) for i in range(4)] + [(4, "assistant", "text", "z", None, False)])
+    assert trim.decide(orphan).where("msg_idx = 3").first().decision == "drop"
+    live = blocks(spark, [(0, "user", "tool_result", "same", "x", False), (1, "user", "tool_result", "same", "y", False), (2, "assistant", "tool_use", "{}", "t", False), (3, "user", "tool_result", "same", "t", False), (4, "assistant", "text", "z", None, False), (5, "assistant", "text", "y", None, False)])
+    assert trim.decide(live).where("msg_idx = 3").first().decision == "compress"
+
+
+def sequential(items, groups, budget):
+    """The demotion ladders, one item at a time."""
+    items = [dict(i) for i in items]
+    cost = lambda i: i["t"] if i["d"] == "keep" else -(-i["t"] // 10) if i["d"] == "compress" else 0
+    total = sum(map(cost, items))
+    for k in sorted((k for k, i in enumerate(items) if i["d"] == "keep" and i["p"] < 0.6), key=lambda k: (items[k]["p"], items[k]["u"], -items[k]["t"], -k)):
+        if total <= budget:
+            break
+        total -= items[k]["t"] + -items[k]["t"] // 10
+        items[k]["d"] = "compress"
+    able = [g for g in groups if all(items[k]["d"] == "compress" and items[k]["p"] < 0.6 for k in groups[g])]
+    for g in sorted(able, key=lambda g: (min(items[k]["p"] for k in groups[g]), min(items[k]["u"] for k in groups[g]), g)):
+        if total <= budget:
+            break
+        for k in groups[g]:
+            total -= -(-items[k]["t"] // 10)
+            items[k]["d"] = "drop"
+    return [i["d"] for i in items]
+
+
+def test_allocation_is_the_sequential_ladder(spark):
+    rng = random.Random(8)
+    all_items, all_blocks, want = [], [], {}
+    for s in range(40):
+        n, doc = rng.randint(1, 14), f"s{s}"
+        items = [{"p": rng.choice([0.25, 0.5, 0.75]), "u": rng.choice([0.25, 0.5]), "t": rng.choice([0, 1, 9, 10, 50, 55, 300]), "d": rng.choice(["keep", "keep", "compress", "drop"])} for _ in range(n)]
+        calls = rng.sample(range(n), n // 2 * 2)
+        pairs = [tuple(sorted(calls[i : i + 2])) for i in range(0, len(calls) // 2, 2) if len(calls[i : i + 2]) == 2]
+        groups = {k: [k] for k in range(n)}
+        for a, b in pairs:
+            groups[a].append(b)
+            del groups[b]
+        all_items += [(doc, k, float(i["p"]), float(i["u"]), 0.0, i["t"], i["d"]) for k, i in enumerate(items)]
+        kinds = {a: ("tool_use", f"{a}") for a, _ in pairs} | {b: ("tool_result", f"{a}") for a, b in pairs}
+        all_blocks += [(doc, k, 0, *kinds.get(k, ("text", None))) for k in range(n)]
+        want[doc] = sequential(items, groups, 100)
+    items = spark.createDataFrame(all_items, "doc string, msg_idx int, importance float, future_utility float, redundancy float, token_cost long, decision string")
+    b = spark.createDataFrame(all_blocks, "doc string, msg_idx int, block_idx int, type string, tool_id string")
+    got = {}
+    for r in trim.allocate(items, c.blocks(b, **{k: F.col(k) for k in b.columns}), 100)[0].orderBy("doc", "msg_idx").collect():
+        got.setdefault(r.doc, []).append(r.decision)
+    assert got == want
+
+
+def test_cwd_subtree(spark):
+    df = spark.createDataFrame([("/some/repo/packages/foo",), ("/some/repo2",), ("/some/repo",), (None,)], "cwd string")
+    assert [r.cwd for r in df.where(search.session_filter(search.Query("", cwd="/some/repo/"))).collect()] == ["/some/repo/packages/foo", "/some/repo"]
+
+
+def test_fuzzy_atoms(spark):
+    assert atoms("a 'b ^c d$ !e ^f$") == [("fuzzy", "a", False), ("exact", "b", False), ("prefix", "c", False), ("suffix", "d", False), ("exact", "e", True), ("whole", "f", False)]
+    lines = spark.createDataFrame([("d", 0, 0, k, "user", x) for k, x in enumerate(["retry budget", "r-e-t-r-y", "yrter", "the retry"])], "doc string, msg_idx int, block_idx int, line_idx int, origin string, line string")
+    got = {r.line: r.score for r in search.score_lines(lines, search.Query("retry", mode="fuzzy")).collect()}
+    assert set(got) == {"retry budget", "r-e-t-r-y", "the retry"} and got["retry budget"] > 65536 > got["r-e-t-r-y"]
+
+
+def test_budgeted_selection_skips_and_goes_on(spark):
+    chunks = spark.createDataFrame([("a", "a", 0, "x" * 200, 0.9), ("b", "b", 0, "x" * 240, 0.8), ("c", "c", 0, "x" * 160, 0.7)], "doc string, id string, msg_idx int, content string, relevance float")
+    assert [r.id for r in retrieval.select_within(chunks, 12, 100).orderBy("rank").collect()] == ["a", "c"]
+    assert [r.id for r in retrieval.select_within(chunks, 2, None).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_header_hits_compete_with_message_zero(spark):
+    from datetime import datetime
+
+    sessions = spark.createDataFrame([("d", "simple", "d", datetime(2024, 1, 1), "/w", 0)], "doc string, harness string, id string, ts timestamp, cwd string, seq long")
+    lines = spark.createDataFrame([("d", None, 0, 0, "meta", "redis"), ("d", 0, 0, 0, "user", "r-e-d-i-s"), ("d", 1, 0, 0, "user", "the redis line")], "doc string, msg_idx int, block_idx int, line_idx int, origin string, line string")
+    out = retrieval.retrieve(sessions, lines, "redis", datetime(2024, 1, 2)).collect()
+    assert [(r.msg_idx, r.content) for r in out] == [(1, "the redis line")]
+    assert set(out[0].signals) == {"keyword", "recency"} and abs(out[0].relevance - 0.65) < 1e-6
+
+
+def test_ranker_batches(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def ranker(query, frame):
+        seen.add(1)
+        return frame.assign(probability=0.78)
+
+    cands = spark.createDataFrame([(f"c{i}", "text") for i in range(65)], "cand string, content string").coalesce(1)
+    assert scoring.rank_with(cands, "q", ranker).where("retrieve").count() == 65 and seen.value == 2
+    with pytest.raises(Exception, match="not finite"):
+        scoring.rank_with(cands, "q", lambda q, f: f.assign(probability=float("nan"))).count()
+
+
+def test_exclusions(spark):
+    s = spark.createDataFrame([("a", "T", None), ("b", "T", ""), ("e", "U", "/w"), ("f", None, None)], "doc string, title string, cwd string")
+    b = blocks(spark, [(0, "user", "text", " same ", None, False)]).withColumn("doc", F.lit("e")).unionByName(blocks(spark, [(0, "user", "text", "[context request] q", None, False)]).withColumn("doc", F.lit("f")))
+    assert {r.doc for r in retrieval.exclude_copies(s, b, "same", "T", None).collect()} == {"f"}
+    assert {r.doc for r in retrieval.exclude_handoffs(s, b).collect()} == {"a", "b", "e"}
+
+
+def test_upsert_stream(spark, tmp_path):
+    from sessionloom.streaming import ingest
+
+    source, target = tmp_path / "in", f"file://{tmp_path}/out"
+    source.mkdir()
+    parse = lambda df: df.select(F.split_part("value", F.lit("="), F.lit(1)).alias("doc"), F.split_part("value", F.lit("="), F.lit(2)).alias("v"))
+    for k, body in enumerate(["a=1\nb=1", "b=2\nc=2"]):
+        (source / f"{k}.txt").write_text(body)
+        ingest.upsert_stream(ingest.text_stream(spark, str(source), parse), target, ["doc"], f"file://{tmp_path}/check").awaitTermination()
+    assert sorted(tuple(r) for r in ingest.latest(spark, target).collect()) == [("a", "1"), ("b", "2"), ("c", "2")]
+
+
+def test_cursors(spark):
+    live = spark.createDataFrame([("a", "1"), ("b", ""), ("c", "2")], "doc string, cursor string")
+    cache = spark.createDataFrame([("a", "1"), ("b", ""), ("d", "1")], "doc string, cursor string")
+    assert {r.doc for r in incremental.cache_misses(live, cache).collect()} == {"b", "c"}
+    assert {r.doc for r in incremental.cache_hits(live, cache).collect()} == {"a"}
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
+def test_queries_agree_with_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("conversations", "documents", "events", "benchmark", "labels"):
+        con.sql(f"create view {table} as select * from '{DATA}/{table}.parquet'")
+    want = con.sql(catalogue.ORACLE[name])
+    columns = sorted(want.columns)
+    rows = sorted(str(tuple(r)) for r in want.select(*[f'"{x}"' for x in columns]).fetchall())
+    got = catalogue.QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == columns
+    plain = lambda r: str(tuple(re.sub("tzinfo=.*", "", str(x)) if hasattr(x, "tzinfo") else x for x in r))
+    assert sorted(plain(r) for r in got.select(*columns).collect()) == sorted(plain(r) for r in want.select(*[f'"{x}"' for x in columns]).fetchall()), rows[:1]
