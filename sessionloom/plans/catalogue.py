@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import redaction, text, tokens
-from ..operators import incremental, retrieval, scoring, search, structure, trim
+from ..functions import json, redaction, text, tokens
+from ..operators import display, incremental, retrieval, scoring, search, structure, trim
+from ..sources import base, render, steps, transcripts
+from ..sources.base import Sessions, parsed
 from . import canonical as c
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,3 +494,82 @@ def cache_prune(spark, sf_dir):
 def upsert_docs(spark, sf_dir):
     live, cache = _cache(spark, sf_dir)
     return incremental.upsert(cache, live, ["doc"])
+
+
+# ── formats ────────────────────────────────────────────────────────────
+def _reread(spark: SparkSession, sf_dir: str, target: str) -> Sessions:
+    """The conversations written in a format and read again."""
+    source = Sessions(c.conversation_sessions(spark, sf_dir), c.conversation_blocks(spark, sf_dir))
+    written = render.convert(source, target)
+    rows = written.select(F.concat(F.lit("/s/"), F.split_part("doc", F.lit(":"), F.lit(2)), F.lit(".json")).alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return transcripts.claude_code(parsed(rows)) if target == "claude_code" else transcripts.simple(parsed(rows).drop("line_no"))
+
+
+_SAID = "SELECT '{h}:conv-' || conv_id AS doc, CAST(i AS INT) AS msg_idx, lower(trim(role)) AS role, text FROM conv"
+
+
+@query("simple_roundtrip", "conv", _SAID.format(h="simple"))
+def simple_roundtrip(spark, sf_dir):
+    return _reread(spark, sf_dir, "simple").blocks.select("doc", "msg_idx", "role", "text")
+
+
+@query("claude_code_roundtrip", "conv", _SAID.format(h="claude_code"))
+def claude_code_roundtrip(spark, sf_dir):
+    return _reread(spark, sf_dir, "claude_code").blocks.select("doc", "msg_idx", "role", "text")
+
+
+@query("session_metadata", "csess", "SELECT id, ts, cwd, branch FROM csess WHERE seq IN (SELECT conv_id FROM conversations WHERE lower(trim(role)) = 'user')")
+def session_metadata(spark, sf_dir):
+    rows = _reread(spark, sf_dir, "claude_code").sessions
+    return rows.where("cwd is not null").select("id", "ts", "cwd", "branch")
+
+
+@query("active_path", "ev", """, l AS (SELECT doc, max(msg_idx) AS leaf FROM ev GROUP BY doc), p AS (SELECT doc, leaf AS n, 0 AS up FROM l UNION ALL SELECT doc, (n - 1) // 2, up + 1 FROM p WHERE n > 0)
+ SELECT doc, CAST(n AS VARCHAR) AS node, CAST(max(up) OVER (PARTITION BY doc) - up AS INT) AS pos FROM p""")
+def active_path(spark, sf_dir):
+    rows = c.event_blocks(spark, sf_dir).select("doc", "msg_idx")
+    nodes = rows.select("doc", F.col("msg_idx").cast("string").alias("node"), F.when(F.col("msg_idx") > 0, F.floor((F.col("msg_idx") - 1) / 2).cast("string")).alias("parent"))
+    return base.active_path(nodes, rows.groupBy("doc").agg(F.max("msg_idx").cast("string").alias("leaf")))
+
+
+@query("typed_or_raw", "ev", "SELECT doc, msg_idx, k % 3 <> 0 AS typed FROM ev WHERE type = 'tool_use'")
+def typed_or_raw(spark, sf_dir):
+    rows = c.event_blocks(spark, sf_dir).where("type = 'tool_use'")
+    given = F.when(F.col("tool_id").cast("int") % 3 == 0, F.regexp_replace("tool_input_json", r"\}$", ',"more":1}')).otherwise(F.col("tool_input_json"))
+    return rows.select("doc", "msg_idx", json.typed(F.col("tool_name"), given).alias("typed"))
+
+
+@query("tool_name_normalise", "ev", "SELECT doc, msg_idx, CASE WHEN k % 4 = 3 THEN 'other' ELSE ['Bash', 'Read', 'Write'][k % 4 + 1] END AS name, CASE WHEN k % 4 = 3 THEN '{\"filePath\":\"' || k || '\"}' WHEN k % 4 = 0 THEN '{\"filePath\":\"' || k || '\"}' ELSE '{\"file_path\":\"' || k || '\"}' END AS input FROM ev WHERE type = 'tool_use'")
+def tool_name_normalise(spark, sf_dir):
+    rows = c.event_blocks(spark, sf_dir).where("type = 'tool_use'").withColumn("k", F.col("tool_id").cast("int"))
+    native = F.element_at(F.array(*[F.lit(x) for x in ("bash", "read", "write", "other")]), F.col("k") % 4 + 1)
+    name, given = transcripts.normalize_tool("opencode", native, F.to_json(F.struct(F.col("tool_id").alias("filePath"))))
+    return rows.select("doc", "msg_idx", name.alias("name"), given.alias("input"))
+
+
+@query("aligned_logs", "ev", "SELECT doc, msg_idx, m AS other FROM (SELECT doc, msg_idx, row_number() OVER (PARTITION BY doc ORDER BY msg_idx) AS n FROM ev WHERE type = 'tool_use') LEFT JOIN (SELECT doc, msg_idx AS m, row_number() OVER (PARTITION BY doc ORDER BY msg_idx) AS n FROM ev WHERE type = 'tool_result') USING (doc, n) WHERE m IS NOT NULL")
+def aligned_logs(spark, sf_dir):
+    rows = c.event_blocks(spark, sf_dir)
+    left, right = rows.where("type = 'tool_use'").select("doc", "msg_idx"), rows.where("type = 'tool_result'").select("doc", F.col("msg_idx").alias("other"), F.col("msg_idx").alias("at"))
+    return steps.aligned(left, right, ["doc"], "msg_idx", "at").where("other is not null")
+
+
+@query("turn_backfill", "ev", "SELECT doc, turn, max(msg_idx) FILTER (event_type = 'click') AS last_text, arg_max(k, msg_idx) FILTER (event_type = 'view') AS last_call FROM (SELECT *, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY doc ORDER BY msg_idx) AS turn FROM ev) GROUP BY doc, turn HAVING last_text IS NOT NULL AND last_call IS NOT NULL")
+def turn_backfill(spark, sf_dir):
+    """What is known of a turn, put on the last of the assistant's texts in it."""
+    rows = c.event_blocks(spark, sf_dir)
+    so_far = Window.partitionBy("doc").orderBy("msg_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("turn", F.count(F.when((F.col("role") == "user") & (F.col("type") == "text"), 1)).over(so_far))
+    said = (F.col("role") == "assistant") & (F.col("type") == "text")
+    out = rows.groupBy("doc", "turn").agg(F.max(F.when(said, F.col("msg_idx"))).alias("last_text"), F.max_by(F.col("tool_id").cast("long"), F.when(F.col("type") == "tool_use", F.col("msg_idx"))).alias("last_call"))
+    return out.where("last_text is not null and last_call is not null")
+
+
+@query("view_filter", "ev", "SELECT doc, msg_idx, type FROM ev WHERE type = 'text' AND role = 'assistant' OR type IN ('tool_use', 'tool_result')")
+def view_filter(spark, sf_dir):
+    return display.view(c.event_blocks(spark, sf_dir), user=False).select("doc", "msg_idx", "type")
+
+
+@query("plan_examples", "items", "SELECT doc, decision, msg_idx, token_cost FROM items QUALIFY row_number() OVER (PARTITION BY doc, decision ORDER BY token_cost DESC, msg_idx) <= 3")
+def plan_examples(spark, sf_dir):
+    return display.examples(trim.decide(c.event_blocks(spark, sf_dir))).select("doc", "decision", "msg_idx", "token_cost")
