@@ -42,6 +42,13 @@ def atoms(pattern: str) -> list[tuple[str, str, bool]]:
     return out
 
 
+def _stretch(text: str) -> str:
+    """A pattern for text's characters in order.  Group 1: from the first character's first place on, each at its first place
+    after the one before.  Nothing in it can be given back, so a line costs one pass whether it matches or not."""
+    first, *rest = text
+    return f"^[^{_quote(first)}]*+({_quote(first)}" + "".join(f"[^{_quote(ch)}]*+{_quote(ch)}" for ch in rest) + ")"
+
+
 def _holds(line: Column, kind: str, text: str) -> Column:
     if kind == "exact":
         return line.contains(text)
@@ -51,7 +58,7 @@ def _holds(line: Column, kind: str, text: str) -> Column:
         return line.endswith(text)
     if kind == "whole":
         return F.trim(line) == text
-    return line.rlike("(?s)" + ".*?".join(map(_quote, text)))
+    return line.rlike(_stretch(text))
 
 
 def fuzzy_columns(line: Column, pattern: str, case: str = "smart") -> tuple[Column, Column, Column]:
@@ -66,7 +73,7 @@ def fuzzy_columns(line: Column, pattern: str, case: str = "smart") -> tuple[Colu
         held = _holds(line, kind, same(text))
         keep &= ~held if negated else held
         if not negated and kind == "fuzzy":
-            found = F.regexp_extract(line, "(?s)(" + ".*?".join(map(_quote, same(text))) + ")", 1)
+            found = F.regexp_extract(line, _stretch(same(text)), 1)
             score += F.greatest(F.lit(16 * len(text)) - (F.length(found) - len(text)), F.lit(len(text)))
         elif not negated:
             score += 16 * len(text)
