@@ -18,12 +18,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def ascii_lower(c: Column) -> Column:
     """A-Z to lower case, nothing else."""
-    return F.translate(c, _UPPER, _LOWER)
+    return F.when(c.rlike("[A-Z]"), F.translate(c, _UPPER, _LOWER)).otherwise(c)
 
 
 def fold(c: Column) -> Column:
     """Unicode lower case, one character to one: U+0130 stays, and a capital sigma is always the inner small sigma."""
-    return F.replace(F.lower(F.replace(F.translate(c, "Σ", "σ"), F.lit("İ"), F.lit(""))), F.lit(""), F.lit("İ"))
+    odd = F.replace(F.lower(F.replace(F.replace(c, F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("\ue000"))), F.lit("\ue000"), F.lit("İ"))
+    return F.when(c.contains("Σ") | c.contains("İ"), odd).otherwise(F.lower(c))
 
 
 def fold_text(text: str) -> str:

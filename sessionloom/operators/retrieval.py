@@ -65,13 +65,13 @@ def candidates(sessions: DataFrame, lines: DataFrame, query: str, options: Optio
     if options.cwd is not None:
         base = options.cwd.rstrip("/")
         keep &= (F.col("cwd") == base) | F.col("cwd").startswith(base + "/")
-    found = []
+    found, some = [], F.lit(False)
     lines = lines.withColumn("folded", fold(F.col("line")))
     for k, term in enumerate(terms):  # terms have no capital A-Z; one with another capital is matched with its case
         ok, score, _ = fuzzy_columns(F.col("line"), term, "sensitive") if smart_case_sensitive(term) else fuzzy_columns(F.col("folded"), fold_text(term), "sensitive")
         found.append(F.when(ok, F.struct(F.lit(k).alias("term"), score.alias("score"))))
-    hits = lines.withColumn("found", F.filter(F.array(*found), lambda x: x.isNotNull())).where(F.size("found") > 0)
-    hits = hits.select("doc", "msg_idx", "block_idx", "line_idx", "origin", "line", F.explode("found").alias("f")).select("*", "f.term", "f.score").drop("f")
+        some |= ok
+    hits = lines.where(some).select("doc", "msg_idx", "block_idx", "line_idx", "origin", "line", F.explode(F.array(*found)).alias("f")).where("f is not null").select("*", "f.term", "f.score").drop("f")
     meta = sessions.where(keep).select("doc", "id", "ts", "seq")
     hits = hits.join(meta, "doc")
     # The best sessions of each term, then the best lines of each of them.
