@@ -309,20 +309,21 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     parts = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inner = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.select("part", "segment", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)).alias("in")).join(parts, F.col("part") == F.col("p")).select(F.col("part").alias("p"), F.col("segment").alias("s"), (F.col("base") + F.col("in")).alias("start"))
-    rows = rows.join(starts, (F.col("part") == F.col("p")) & (F.col("segment") == F.col("s"))).select("start", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                doc_ids, tokens = decode_segment(batch.column(1)[k].as_py())
+                doc_ids, tokens = decode_segment(batch.column(2)[k].as_py())
+                n = len(tokens)
                 sizes = np.array([len(t) for t in tokens], np.int64)
-                starts = batch.column(0)[k].as_py() + np.cumsum(sizes) - sizes
                 checks = pa.array([zlib.crc32(t.astype("<u4").tobytes()) for t in tokens], pa.int64())
-                known = doc_ids != -(1 << 63)
-                arrays = [pa.array(doc_ids, mask=~known), pa.array(starts), pa.array(sizes), checks]
-                yield pa.RecordBatch.from_arrays(arrays + [pa.array([t.astype(np.int64) for t in tokens], pa.list_(pa.int64()))] * with_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                own = [pa.array(np.full(n, batch.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
+                arrays = [*own, pa.array(doc_ids, mask=doc_ids == -(1 << 63)), pa.array(np.cumsum(sizes) - sizes), pa.array(sizes), checks]
+                yield pa.RecordBatch.from_arrays(arrays + [pa.array([t.astype(np.int64) for t in tokens], pa.list_(pa.int64()))] * with_ids, ["part", "segment", "doc_id", "offset", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    out = rows.select("part", "segment", "raw").mapInArrow(run, "part long, segment long, doc_id long, offset long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    out = out.join(starts, (F.col("part") == F.col("p")) & (F.col("segment") == F.col("s")))  # rows of documents, not segments
+    return out.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def ids_folder(spark: SparkSession, name: str) -> str:
