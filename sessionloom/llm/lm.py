@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 from .common import materialize, text_bytes
 
 #: Classes and ids of a class; ids of single words; words before and after; sizes of an embedding and of the hidden layer.
+#: Words of a training step and of a scoring step; weights averaged by one task.
 CLASSES, WIDTH, TOP, SIDE, EMBED, HIDDEN = 32, 32, 767, 2, 8, 16
 VOCABULARY = CLASSES * WIDTH
-BATCH, FAN = 8192, 64
+BATCH, SCORED, FAN = 16384, 65536, 64
 _SHAPES = [(VOCABULARY, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, WIDTH), (CLASSES, WIDTH)]
 
 
@@ -80,11 +81,14 @@ def _unpack(raw: bytes) -> list[np.ndarray]:
     return [x.reshape(s).copy() for x, s in zip(np.split(flat, ends[:-1]), _SHAPES, strict=True)]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def _exponents(hidden: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits and its sum in each row.  hidden is within -1 and 1, so weights bound the logits; only where that
+    bound could overflow is the largest of each row taken off first."""
+    z = hidden @ w + b
+    if np.abs(w).sum(0).max() + np.abs(b).max() > 80:
+        z -= z.max(1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    return z, z @ np.ones(z.shape[1], z.dtype)
 
 
 def _forward(weights: list[np.ndarray], context: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, list[np.ndarray] | None]:
@@ -94,13 +98,14 @@ def _forward(weights: list[np.ndarray], context: np.ndarray, target: np.ndarray,
     order = np.argsort((target // WIDTH).astype(np.int8), kind="stable")
     context, target = context[order], target[order]
     cls, member = target // WIDTH, target % WIDTH
-    x = embed[context].reshape(n, -1)
+    x = np.take(embed, context, axis=0).reshape(n, -1)
     hidden = np.tanh(x @ w1 + b1)
-    p = _softmax(hidden @ wc + bc)
-    rows = np.arange(n)
-    score = np.log(np.maximum(p[rows, cls], 1e-30))
     cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+    rows = np.arange(n)
+    p, total = _exponents(hidden, wc, bc)
+    score = np.log(np.maximum(p[rows, cls] / total, 1e-30))
     if learn:
+        p /= total[:, None]
         p[rows, cls] -= 1
         p /= n
         back = p @ wc.T
@@ -109,10 +114,11 @@ def _forward(weights: list[np.ndarray], context: np.ndarray, target: np.ndarray,
         a, b = cuts[c], cuts[c + 1]
         if a == b:
             continue
-        q = _softmax(hidden[a:b] @ wu[c] + bu[c])
-        own = np.arange(b - a), member[a:b]
-        score[a:b] += np.log(np.maximum(q[own], 1e-30))
+        q, total = _exponents(hidden[a:b], wu[c], bu[c])
+        own = rows[: b - a], member[a:b]
+        score[a:b] += np.log(np.maximum(q[own] / total, 1e-30))
         if learn:
+            q /= total[:, None]
             q[own] -= 1
             q /= n
             gwu[c], gbu[c] = hidden[a:b].T @ q, q.sum(0)
@@ -203,7 +209,7 @@ def score(docs: DataFrame, model: tuple[list[int], list[np.ndarray]], text: str
         for batch in batches:
             for first, ids, sizes in _ids(batch, 1, vocabulary):
                 places = _places(sizes)
-                logs = [_forward(net, ids[own[:, None] + _AROUND], ids[own], False)[0] for own in (places[at : at + BATCH] for at in range(0, len(places), BATCH))]
+                logs = [_forward(net, ids[own[:, None] + _AROUND], ids[own], False)[0] for own in (places[at : at + SCORED] for at in range(0, len(places), SCORED))]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate([*logs, np.zeros(0)]))])
                 ends = np.cumsum(sizes)
                 total = sums[ends] - sums[ends - sizes]
