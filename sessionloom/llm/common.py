@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,6 +84,16 @@ def text_bytes(column: pa.Array) -> Iterator[bytes | None]:
     return (x.as_buffer().to_pybytes() if x.is_valid else None for x in column.cast(pa.large_binary()))
 
 
+def release() -> None:
+    """Gives memory that this Python worker no longer uses back to the system: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def find_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes of the edges (u, v) and the smallest node of the component of each, by min-label hooking and pointer jumping."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)

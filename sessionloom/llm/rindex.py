@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, drop, materialize, text_bytes, text_slices
+from .common import buckets_for, drop, materialize, release, text_bytes, text_slices
 
 MATCH, K, RUN, HOT = 50, 24, 64, 4096
 #: Bytes of input for each bucket of anchors.
 BUCKET_BYTES = 8 << 20
-_SLICE = 1 << 18
+_SLICE, _HELD = 1 << 18, 8 << 20
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _COVERED, _SHIPPED, _HOT = 0, 1, 2
 _TABLE = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,16 +168,25 @@ def _firsts(anchor: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> tuple[np
 def _scatter(n_buckets: int):
     """Documents to (kind, key, blob): kind 0, runs for bucket `key`; kind 1, replies for the group `key` of documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """Runs of about _HELD bytes of texts at a time."""
+        parts, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = []
             for row, offsets, data in text_slices(batch.column(1), _SLICE):
                 runs = Runs(offsets, data)
                 if len(runs.doc):
                     parts.append((runs.anchor, runs.hash, ids[row + runs.doc], runs.ordinal))
-            if not parts:
-                continue
+                size += len(data)
+                if size > _HELD and parts:
+                    yield parts
+                    parts, size = [], 0
+        if parts:
+            yield parts
+        release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in held(batches):
             anchor, hashes, doc, ordinal = (np.concatenate(x) for x in zip(*parts, strict=True))
             order, first, string = _firsts(anchor, hashes, doc)
             covered = doc[order] != doc[order[first]][string]
@@ -397,7 +406,7 @@ def _spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     replies, replies_at = materialize(dealt.withColumn("group", key).groupBy("group").applyInArrow(answer, "key long, blob binary"), "replies")
     told = replies.groupBy("key").applyInArrow(_by_document, "key long, replies binary")
     rows = body.join(told, body.doc_id == told.key).select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "replies")
-    taken, _ = materialize(rows.mapInArrow(_take(n_buckets), "bucket long, doc_id long, text_hash long, at int, body binary"), "strings")
+    taken, _ = materialize(rows.mapInArrow(_take(4 * n_buckets), "bucket long, doc_id long, text_hash long, at int, body binary"), "strings")
     drop(spark, replies_at)
     matched = taken.where("bucket >= 0").groupBy("bucket").applyInArrow(_match, "doc_id long, text_hash long, body binary")
     return taken.where("bucket < 0").select("doc_id", "text_hash", "body").unionByName(matched)

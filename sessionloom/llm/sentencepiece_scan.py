@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Characters of a word from which it is split into chunks, of a chunk, words that a task keeps, and rows that it returns at once.
-GIANT, CHUNK, KEPT, ROWS = 512, 256, 1 << 18, 256
+GIANT, CHUNK, KEPT, ROWS = 512, 256, 1 << 17, 256
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 State = tuple[int, int]
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, find_roots, materialize, text_bytes
+from .common import components, find_roots, materialize, release, text_bytes
 
 SEED = 42
 #: Fingerprints of one segment value that are compared with as many others at once.
@@ -199,6 +199,7 @@ def _verify(segment: int, distance: int):
             held.append(batch.slice(cut))
         if held:
             yield from flush()
+        release()
 
     return run
 
