@@ -1,16 +1,20 @@
 """LM scoring by masked pseudo-likelihood.
 
 A window network predicts each word from the two words before it and the two after it; a document's score is the sum of the
-words' conditional log-probabilities.  The vocabulary comes from counts of all words of all documents: the most frequent
-words are ids of their own, the others share hashed ids.  An id is predicted in two steps, its class and itself within the
-class.  Training is numpy's: every partition makes one pass over all its documents, by minibatches and Adagrad, from the same
+words' conditional log-probabilities.  The vocabulary comes from counts of all words of all documents and grows with them:
+words above a count are ids of their own, the others share hashed ids, a third as many.  A shared id's probability is split
+among its words by their counts; words below a second, lower count get what is left in equal parts.  So the probabilities of
+all words of the corpus add up to 1.  An id is predicted in two steps, its class and itself within the class.  Training is numpy's: every partition makes one pass over all its documents, by minibatches and Adagrad, from the same
 start, and the partitions' weights are averaged by their words, level by level in executors.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, text_bytes
+from .common import drop, materialize, text_bytes
 
-#: Classes and ids of a class; ids of single words; words before and after; sizes of an embedding and of the hidden layer.
-#: Words of a training step and of a scoring step; weights averaged by one task.
+#: The least vocabulary's classes, ids of a class and ids of single words; words before and after; sizes of an embedding and
+#: of the hidden layer.  Words of a training step and of a scoring step; weights averaged by one task.
+#: Of N words in all, those that occur sqrt(N) / OWN times are ids of their own, those of sqrt(N) / LISTED times have counts.
 CLASSES, WIDTH, TOP, SIDE, EMBED, HIDDEN = 32, 32, 767, 2, 8, 16
 VOCABULARY = CLASSES * WIDTH
 BATCH, SCORED, FAN = 16384, 65536, 64
-_SHAPES = [(VOCABULARY, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, WIDTH), (CLASSES, WIDTH)]
+OWN, LISTED = 4, 64
+
+
+def _shapes(classes: int, width: int) -> list[tuple[int, ...]]:
+    return [(classes * width, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,), (classes, HIDDEN, width), (classes, width)]
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -51,34 +60,79 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text)).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-class _Vocabulary(dict):
-    """Ids of words: 0 is the edge of a document, then the frequent words, then shared ids."""
-
-    def __init__(self, top: list[int]):
+class Vocabulary(NamedTuple):
+    """Codes of words: 0 is the edge of a document, then the listed words by hash, then each shared id's other words.
+
+    ids and shares: each code's id, and the logarithm of the word's share of that id's probability."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    shares: np.ndarray
+    top: int
+    classes: int
+    width: int
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+    """The vocabulary of all words of docs.  The driver sees the listed words, about sqrt(N) of N, and a row per shared id."""
+    counts, path = materialize(word_counts(docs, text), "counts")
+    root = float(counts.agg(F.sum("n")).first()[0] or 0) ** 0.5
+    rows = counts.where(F.col("n") >= root / LISTED).toArrow()
+    if len(rows) < TOP:
+        rows = counts.orderBy(F.desc("n"), "h").limit(TOP).toArrow()
+    h, n = rows["h"].to_numpy(), rows["n"].to_numpy()
+    order = np.lexsort((h, -n))
+    h, n = h[order], n[order]
+    top = min(len(h), max(TOP, int((n >= root / OWN).sum())))
+    classes, width = CLASSES, WIDTH
+    if top > TOP:
+        classes = width = int(np.ceil(np.sqrt(top + 1 + top // 3)))
+    shared = classes * width - top - 1
+    total, rest, kinds = np.zeros(shared), np.zeros(shared), np.zeros(shared)
+    np.add.at(total, h[top:] % shared, n[top:])
+    if len(h):
+        others = counts.where((F.col("n") < int(n[-1])) | ((F.col("n") == int(n[-1])) & (F.col("h") > int(h[-1]))))
+        for r in others.groupBy(F.pmod("h", F.lit(shared)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
+            rest[r["k"]], kinds[r["k"]] = r["n"], r["kinds"]
+    drop(docs.sparkSession, path)
+    total += rest
+    ids = np.concatenate([np.arange(1, top + 1), top + 1 + h[top:] % shared])
+    shares = np.concatenate([np.zeros(top), np.log(n[top:] / total[h[top:] % shared])])
+    order = np.argsort(h)
+    every = np.log(np.maximum(rest, 1) / np.maximum(kinds, 1) / np.maximum(total, 1))
+    return Vocabulary(h[order], np.concatenate([[0], ids[order], top + 1 + np.arange(shared)]).astype(np.int32), np.concatenate([[0.0], shares[order], every]), top, classes, width)
+
+
+class _Codes(dict):
+    """Codes of words, looked up as they come."""
+
+    def __init__(self, words: Vocabulary):
         super().__init__()
-        self.top = {h: i + 1 for i, h in enumerate(top)}
+        self.hashes, self.shared = array("q", words.hashes.tobytes()), words.classes * words.width - words.top - 1
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         signed = h - (1 << 64) if h >> 63 else h
-        found = self[word] = self.top.get(signed) or TOP + 1 + h % (VOCABULARY - TOP - 1)
+        at, n = bisect_left(self.hashes, signed), len(self.hashes)
+        found = self[word] = at + 1 if at < n and self.hashes[at] == signed else n + 1 + signed % self.shared
         return found
 
 
-def _start(seed: int = 4) -> list[np.ndarray]:
+def _start(seed: int = 4, classes: int = CLASSES, width: int = WIDTH) -> list[np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
-    return [(rng.standard_normal(s) * (0.3 if i == 0 else 0.0 if len(s) == 1 or s == (CLASSES, WIDTH) else 0.2)).astype(np.float32) for i, s in enumerate(_SHAPES)]
+    return [(rng.standard_normal(s) * (0.3 if i == 0 else 0.0 if len(s) == 1 or i == 6 else 0.2)).astype(np.float32) for i, s in enumerate(_shapes(classes, width))]
 
 
 def _pack(weights: list[np.ndarray]) -> bytes:
     return np.concatenate([w.ravel() for w in weights]).astype(np.float32).tobytes()
 
 
-def _unpack(raw: bytes) -> list[np.ndarray]:
-    flat, ends = np.frombuffer(raw, np.float32), np.cumsum([int(np.prod(s)) for s in _SHAPES])
-    return [x.reshape(s).copy() for x, s in zip(np.split(flat, ends[:-1]), _SHAPES, strict=True)]
+def _unpack(raw: bytes, classes: int, width: int) -> list[np.ndarray]:
+    shapes = _shapes(classes, width)
+    flat, ends = np.frombuffer(raw, np.float32), np.cumsum([int(np.prod(s)) for s in shapes])
+    return [x.reshape(s).copy() for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
 
 
 def _exponents(hidden: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +148,13 @@ def _exponents(hidden: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.nda
 def _forward(weights: list[np.ndarray], context: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, list[np.ndarray] | None]:
     """Log-probabilities of the targets, and the gradients of their mean."""
     embed, w1, b1, wc, bc, wu, bu = weights
-    n = len(target)
-    order = np.argsort((target // WIDTH).astype(np.int8), kind="stable")
+    n, (classes, width) = len(target), bu.shape
+    order = np.argsort((target // width).astype(np.int16), kind="stable")
     context, target = context[order], target[order]
-    cls, member = target // WIDTH, target % WIDTH
+    cls, member = target // width, target % width
     x = np.take(embed, context, axis=0).reshape(n, -1)
     hidden = np.tanh(x @ w1 + b1)
-    cuts = np.searchsorted(cls, np.arange(CLASSES + 1))
+    cuts = np.searchsorted(cls, np.arange(classes + 1))
     rows = np.arange(n)
     p, total = _exponents(hidden, wc, bc)
     score = np.log(np.maximum(p[rows, cls] / total, 1e-30))
@@ -110,7 +164,7 @@ def _forward(weights: list[np.ndarray], context: np.ndarray, target: np.ndarray,
         p /= n
         back = p @ wc.T
         gwu, gbu = np.zeros_like(wu), np.zeros_like(bu)
-    for c in range(CLASSES):
+    for c in range(classes):
         a, b = cuts[c], cuts[c + 1]
         if a == b:
             continue
@@ -131,16 +185,16 @@ def _forward(weights: list[np.ndarray], context: np.ndarray, target: np.ndarray,
     back *= 1 - hidden * hidden
     gx = (back @ w1.T).reshape(-1, EMBED)
     flat = context.ravel()
-    gembed = np.stack([np.bincount(flat, gx[:, k], VOCABULARY) for k in range(EMBED)], 1).astype(np.float32)
+    gembed = np.stack([np.bincount(flat, gx[:, k], len(embed)) for k in range(EMBED)], 1).astype(np.float32)
     return out, [gembed, x.T @ back, back.sum(0), gwc, gbc, gwu, gbu]
 
 
-def _ids(batch: pa.RecordBatch, column: int, vocabulary: _Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of documents: first row, ids with SIDE edges around each document, words of each document."""
+def _codes(batch: pa.RecordBatch, column: int, codes: _Codes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of documents: first row, codes with SIDE edges around each document, words of each document."""
     first, held, ids, sizes = 0, 0, [np.zeros(SIDE, np.int32)], []
     for row, body in enumerate(text_bytes(batch.column(column))):
         words = (body or b"").split()
-        ids += [np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)), np.zeros(SIDE, np.int32)]
+        ids += [np.fromiter(map(codes.__getitem__, words), np.int32, len(words)), np.zeros(SIDE, np.int32)]
         sizes.append(len(words))
         held += len(words)
         if held > 1 << 18:
@@ -151,23 +205,23 @@ def _ids(batch: pa.RecordBatch, column: int, vocabulary: _Vocabulary) -> Iterato
 
 
 def _places(sizes: np.ndarray) -> np.ndarray:
-    """Places of the documents' words among the ids of _ids()."""
+    """Places of the documents' words among the codes of _codes()."""
     return np.arange(int(sizes.sum())) + SIDE * (1 + np.repeat(np.arange(len(sizes)), sizes))
 
 
 _AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
 
 
-def train(docs: DataFrame, text: str = "text", rate: float = 0.1) -> tuple[list[int], list[np.ndarray]]:
-    """The vocabulary (hashes of the TOP most frequent words) and the network's weights."""
-    counts = word_counts(docs, text)
-    top = [r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(TOP).collect()]
+def train(docs: DataFrame, text: str = "text", rate: float = 0.1) -> tuple[Vocabulary, list[np.ndarray]]:
+    """The vocabulary and the network's weights."""
+    known = vocabulary(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights, words = _Vocabulary(top), _start(), 0
+        codes, weights, words = _Codes(known), _start(classes=known.classes, width=known.width), 0
         squares = [np.full(w.shape, 1e-6, np.float32) for w in weights]
         for batch in batches:
-            for _, ids, sizes in _ids(batch, 0, vocabulary):
+            for _, found, sizes in _codes(batch, 0, codes):
+                ids = known.ids[found]
                 places = _places(sizes)
                 for at in range(0, len(places), BATCH):
                     own = places[at : at + BATCH]
@@ -194,22 +248,23 @@ def train(docs: DataFrame, text: str = "text", rate: float = 0.1) -> tuple[list[
         found = found.withColumn("g", F.pmod(F.xxhash64("raw"), F.lit(groups))).groupBy("g").applyInArrow(average, "n long, raw binary")
         rows = groups if groups > 1 else 1
     first = found.agg(F.max(F.struct("n", "raw")).alias("r")).first()["r"]
-    return top, _unpack(first["raw"]) if first else _start()
+    return known, _unpack(first["raw"], known.classes, known.width) if first else _start(classes=known.classes, width=known.width)
 
 
-def score(docs: DataFrame, model: tuple[list[int], list[np.ndarray]], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, model: tuple[Vocabulary, list[np.ndarray]], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, log_likelihood (the sum over all words) and mean_log_likelihood (null without words) of each row.
 
     Null and empty texts have no words and a sum of 0.  Repeated rows are scored one by one, alike."""
-    top, weights = model
+    known, weights = model
     raw = _pack(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, net = _Vocabulary(top), _unpack(raw)
+        codes, net = _Codes(known), _unpack(raw, known.classes, known.width)
         for batch in batches:
-            for first, ids, sizes in _ids(batch, 1, vocabulary):
+            for first, found, sizes in _codes(batch, 1, codes):
+                ids, shares = known.ids[found], known.shares[found]
                 places = _places(sizes)
-                logs = [_forward(net, ids[own[:, None] + _AROUND], ids[own], False)[0] for own in (places[at : at + SCORED] for at in range(0, len(places), SCORED))]
+                logs = [_forward(net, ids[own[:, None] + _AROUND], ids[own], False)[0] + shares[own] for own in (places[at : at + SCORED] for at in range(0, len(places), SCORED))]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate([*logs, np.zeros(0)]))])
                 ends = np.cumsum(sizes)
                 total = sums[ends] - sums[ends - sizes]

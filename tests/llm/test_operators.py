@@ -335,6 +335,24 @@ def test_language_model(spark):
     assert lm.score(docs.limit(0), lm.train(docs.limit(0))).count() == 0
 
 
+def test_language_model_vocabulary_follows_the_corpus(spark):
+    words = [f"w{i}" for i in range(4000) for _ in range(100 if i < 1200 else 1 + i % 10)]
+    random.Random(8).shuffle(words)
+    docs = spark.createDataFrame(list(enumerate(" ".join(words[i : i + 100]) for i in range(0, len(words), 100))), "doc_id long, text string").repartition(3)
+    known, _ = model = lm.train(docs)
+    assert known.top == 1200 and known.classes * known.width >= 1600
+    # all words of the corpus in one context: their probabilities add up to 1
+    one = spark.createDataFrame([(i, f"w0 w1 w{i} w2 w3") for i in range(4000)], "doc_id long, text string")
+    codes, (_, weights) = lm._Codes(known), model
+    found = np.array([codes[f"w{i}".encode()] for i in range(4000)])
+    context = np.tile(known.ids[[codes[w] for w in (b"w0", b"w1", b"w2", b"w3")]], (4000, 1))
+    logs = lm._forward(weights, context, known.ids[found], False)[0] + known.shares[found]
+    used = np.unique(known.ids[found])
+    mass = np.exp(lm._forward(weights, context[: len(used)], used, False)[0]).sum()
+    assert abs(np.exp(logs).sum() - mass) < 1e-4 and mass <= 1.0001
+    assert np.isfinite([r.log_likelihood for r in lm.score(one, model).collect()]).all()
+
+
 def test_language_model_gradients():
     rng = np.random.default_rng(0)
     weights = [w.astype(np.float64) + rng.normal(size=w.shape) * 0.1 for w in lm._start()]
