@@ -270,6 +270,44 @@ def test_simhash_similarity():
     assert hits >= 39
 
 
+def brute_similar(rows):
+    """The smallest id of each id's component of texts whose sets of five-word shingles have a similarity of 0.8."""
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, label = {i: grams(t) for i, t in rows}, {i: i for i, _ in rows}
+    pairs = [(i, j) for i in sets for j in sets if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in label:
+        before = dict(label)
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if before == label:
+            return label
+
+
+def test_pipeline_near_duplicates_are_those_of_brute_force(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(6), []
+    words = [f"w{i}" for i in range(5000)]
+    for edits in (1, 3, 4, 5, 6, 6, 7, 7, 8, 8, 9, 10, 11, 12):  # of 300 words: similarities from 0.97 to 0.66, most of them around 0.8
+        base = [rng.choice(words) for _ in range(300)]
+        rows.append(base)
+        for _ in range(6):
+            near = list(base)
+            for at in rng.sample(range(300), edits):
+                near[at] = rng.choice(words)
+            rows.append(near)
+    rows += [["x"] * 300, ["x"] * 200 + rows[0][:80], ["x"] * 250 + rows[0][:80], rows[3]]
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    label = brute_similar(rows)
+    assert 10 < len({x for x in label.values()}) < 80
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(label.values()))
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for i, t in rows:
