@@ -335,6 +335,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 320, segment: i
     kept: the row has that id.  Texts that are null, empty or white space have fingerprint zero and link like others.
     Repeated rows and equal ids each give a row and are one document; a null id is a component's id only if all its ids are
     null.  An empty table gives no rows.  Other columns are not read."""
+    return _labelled(docs, words, bits, segment, distance, text, doc_id, similarity).drop("root")
+
+
+def _labelled(docs: DataFrame, words: int, bits: int, segment: int, distance: int, text: str, doc_id: str, similarity: float | None) -> DataFrame:
+    """The rows of near_duplicates() with their components' roots: unlike component_id, no two components share one."""
     exact = similarity is not None
     keys = ["fp", "shingles"] if exact else ["fp"]
     rows, _ = materialize(fingerprints(docs, words, bits, text, doc_id, exact), "fingerprints")
@@ -344,8 +349,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 320, segment: i
     nodes = nodes.withColumnRenamed("node", "n")
     labelled = groups.join(nodes, groups.node == nodes.n, "left").select(*keys, "least", F.coalesce("root", "node").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = rows.join(labelled.join(lowest, "root").select(*keys, "component_id"), keys)
-    return out.select("doc_id", "text_hash", F.lower(F.hex(_reversed("fp"))).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = rows.join(labelled.join(lowest, "root").select(*keys, "component_id", "root"), keys)
+    return out.select("doc_id", "text_hash", F.lower(F.hex(_reversed("fp"))).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
 
 
 def _reversed(name: str):
@@ -353,11 +358,25 @@ def _reversed(name: str):
     return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(name), F.lit("(..)"))), ""))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = 0.8, distance: int = 68, **options) -> DataFrame:
-    """docs without the rows that near_duplicates() doesn't keep, with all their columns.
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, bits: int = 320, segment: int = 20, distance: int = 68, similarity: float = 0.8) -> DataFrame:
+    """One row of docs, with all its columns, of each component of near_duplicates(): one with the component's smallest id.
 
     At a similarity of 0.8 a bit differs with a probability of 0.15: 48 of 320 bits with a deviation of 6, so 999 of 1000
     such pairs are within the distance."""
-    gone = near_duplicates(docs, text=text, doc_id=doc_id, similarity=similarity, distance=distance, **options).where("not kept")
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs[text]) == gone["_gone_hash"]), "left_anti")
+    found, _ = materialize(_labelled(docs, words, bits, segment, distance, text, doc_id, similarity), "found")
+    # of a component's rows with its smallest id, those of one text stay, and of those one row
+    kept = found.where("kept").groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = kept.groupBy("root").agg(F.min("text_hash").alias("first"))
+    kept = kept.join(first, "root").select("doc_id", "text_hash", F.when(F.col("text_hash") == F.col("first"), F.col("n")).otherwise(0).alias("n"))
+    ids = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")]
+    rows, _ = materialize(found.where("not kept").select("doc_id", "text_hash", F.lit(0).cast("long").alias("n")).distinct().unionByName(kept.where("n <> 1")).select(*ids, "n"), "rows")
+
+    def of(marked: DataFrame):
+        return docs[doc_id].eqNullSafe(marked["_id"]) & (F.xxhash64(docs[text]) == marked["_hash"])
+
+    gone, many = rows.where("n = 0"), rows.where("n > 1")
+    out = docs.join(gone, of(gone), "left_anti")
+    if many.isEmpty():
+        return out
+    repeated = docs.join(many, of(many), "left_semi").dropDuplicates([doc_id, text])
+    return out.join(many, of(many), "left_anti").unionByName(repeated)

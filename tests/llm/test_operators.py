@@ -308,6 +308,16 @@ def test_pipeline_near_duplicates_are_those_of_brute_force(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(label.values()))
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a + " more"), (2, a), (3, b), (None, c), (None, c), (None, c + " more"), (3, "quite another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text[0]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, "a"), (3, "b"), (3, "q"), (None, "c")], key=str)
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for i, t in rows:
