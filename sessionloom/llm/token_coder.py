@@ -1,23 +1,25 @@
 """Token ids in files: an adaptive context-mixing range coder in independent, checksummed blocks.
 
-Three predictions are made for each id of a block: the id that last followed the last two ids (order 2), the one that last
-followed the last id (order 1), and the most frequent id so far (order 0).  Which of them is right, or none, is coded with
-frequencies mixed from two sets of adaptive counts: those of the predictions' confidence and those of the block.  An id that
-none has predicted follows in 16 bits.  Each block starts from nothing and carries the CRC-32 of its ids.
+Three predictions are mixed for each id of a block.  Order 2: the id that last followed the last two ids in this block.
+Order 1: the distribution of the ids that follow the last one.  Order 0: the distribution of all ids.  The weight of order 2
+comes from two adaptive probabilities, one for each confidence of the prediction and one for the block; the weight of order 0
+against order 1 comes from the last id's own share of rare successors and from an adaptive probability of the block.  The
+distributions of orders 0 and 1 are counted over the segment and stand in its head, with successors that occur once left to
+order 0.  Each block starts anew from the head alone and carries the CRC-32 of its ids; the head has one too.
 
 Blocks of a segment are coded side by side, one numpy operation for all of them: a segment holds whole documents, in order.
 
-Segment: magic `TKS1`, documents, blocks, wide (0, or 1 if ids need 32 bits) as unsigned 32-bit integers; each document's id
-(signed 64-bit) and tokens (unsigned 32-bit); each block's tokens, words and CRC-32; then the blocks' 16-bit words.  All is
-little endian.  Segments are the rows of a Parquet table, in order of (part, segment).
+Segment: magic `TKS2`; documents, blocks, bytes of the head, CRC-32 of the head as unsigned 32-bit integers; each document's
+id (signed 64-bit) and tokens (unsigned 32-bit); each block's tokens, words and CRC-32; the head; then the blocks' 32-bit
+words.  All is little endian.  Segments are the rows of a Parquet table, in order of (part, segment).
 """
 
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,211 +28,311 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
-
-BLOCK, SEGMENT, SLOTS = 1024, 1 << 21, 1 << 10
-KEPT = 1 << 18
-_MASK, _TOP, _BOT = np.uint64((1 << 48) - 1), np.uint64(1 << 32), np.uint64(1 << 16)
-_TOTAL_BITS = np.uint64(12)
+from .common import release, shared_folder
+
+#: Ids of a block at most, of a segment (about), and slots of a block's order-2 table.  A segment has 512 blocks at least, if
+#: that leaves them 256 ids: one step of numpy serves them all.
+BLOCK, SEGMENT, SLOTS = 4096, 1 << 22, 1 << 12
+#: Bits of the mixing weights.  Successors of an id that occur less often than LEAST are left to order 0.
+MIX, LEAST = 12, 2
+KEPT = 1 << 19
+_ONE = 1 << MIX
+_LOW = np.uint64(32)
+_ROOM = np.uint64(1 << 32)
+#: Counts are kept as multiples of an eighth of a power of two.
+_COUNTS = np.round(2.0 ** (np.arange(256) / 8)).astype(np.int64)
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    """The code of each count, one octet."""
+    return np.clip(np.round(8 * np.log2(np.maximum(counts, 1))), 0, 255).astype(np.uint8)
+
+
+def _scaled(counts: np.ndarray, row: np.ndarray, rows: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies of at least 1 that add up to total in each row, and the cumulative frequency before each in its row."""
+    kinds = np.bincount(row, minlength=rows)
+    sums = np.bincount(row, counts, rows).astype(np.int64)
+    free = 1 + counts * (total - kinds[row]) // np.maximum(sums[row], 1)
+    first = np.cumsum(kinds) - kinds
+    some = kinds > 0
+    free[first[some]] += total - np.bincount(row, free, rows).astype(np.int64)[some]
+    before = np.cumsum(free) - free
+    return free, before - before[first[row]]
+
+
+class _Head:
+    """Orders 0 and 1 of a segment.  Ids are their ranks among the segment's ids; rank `kinds` is the start of a block."""
+
+    def __init__(self, raw: bytes):
+        kinds, pairs, size = np.frombuffer(raw, "<u4", 3).tolist()
+        flat = pa.decompress(raw[12:], size, "zstd", asbytes=True)
+        sizes = [4 * kinds, kinds, 4 * (kinds + 1), kinds + 1, 4 * pairs, pairs]
+        at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        wide = lambda k, n: np.ascontiguousarray(np.frombuffer(flat, np.uint8, 4 * n, at[k]).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+        octets = lambda k, n: np.frombuffer(flat, np.uint8, n, at[k]).astype(np.int64)
+        self.kinds, self.bits = kinds, max(16, int(kinds).bit_length() + 1)
+        if self.bits + MIX > 32:
+            raise ValueError("a segment has too many different ids")
+        total = 1 << self.bits
+        self.ids = np.cumsum(wide(0, kinds))
+        self.freq0, self.cum0 = _scaled(_COUNTS[octets(1, kinds)], np.zeros(kinds, np.int64), 1, total)
+        lengths = wide(2, kinds + 1)
+        self.row = np.repeat(np.arange(kinds + 1), lengths)
+        step = wide(4, pairs)
+        whole = np.cumsum(step)
+        first = np.cumsum(lengths) - lengths
+        base = np.concatenate([[0], whole])[first]
+        self.next = whole - base[self.row]
+        self.freq1, self.cum1 = _scaled(_COUNTS[octets(5, pairs)], self.row, kinds + 1, total)
+        #: The share of order 0 after each id, of _ONE; all of it where no successor is kept.
+        self.rare = np.where(lengths > 0, octets(3, kinds + 1) * (_ONE // 256), _ONE).astype(np.int32)
+        self.key = self.row * (kinds + 1) + self.next
+        self.at0 = self.cum0
+        self.at1 = (self.row << self.bits) + self.cum1
+
+    @classmethod
+    def of(cls, ids: np.ndarray, before: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> bytes:
+        """The head for ranks `ids`, each after the rank `before`, of the different ids `kinds`."""
+        n = len(kinds)
+        keys = np.sort(before * (n + 1) + ids)
+        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        times, keys = np.diff(np.append(cut, len(keys))), keys[cut]
+        row = keys // (n + 1)
+        every, kept = np.bincount(row, times, n + 1), times >= LEAST
+        rare = np.bincount(row[~kept], times[~kept], n + 1)
+        share = np.clip(np.round(256 * rare / np.maximum(every, 1)), 1, 255).astype(np.uint8)
+        row, times, after = row[kept], times[kept], keys[kept] % (n + 1)
+        step = np.where(np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool), after, np.diff(after, prepend=0))
+        wide = lambda x: np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+        flat = wide(np.diff(kinds.astype(np.int64), prepend=0)) + _coded(counts).tobytes() + wide(np.bincount(row, minlength=n + 1)) + share.tobytes() + wide(step) + _coded(times).tobytes()
+        return np.array([n, len(row), len(flat)], "<u4").tobytes() + pa.compress(flat, "zstd", asbytes=True)
 
 
 class _Model:
-    """Predictions and counts of all blocks of a segment."""
+    """The adaptive side: order 2 and the mixing weights of all blocks of a segment."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, head: _Head):
+        self.head = head
         self.lane = np.arange(lanes)
-        self.base = self.lane * SLOTS
-        self.second, self.first = np.zeros(lanes * SLOTS, np.uint32), np.zeros(lanes * SLOTS, np.uint32)
-        self.trust2, self.trust1 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
-        self.seen = np.zeros(lanes * SLOTS, np.uint16)
-        self.best, self.most = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint16)
-        self.by_trust = np.tile(np.array([4, 2, 1, 8], np.int64), (lanes * 16, 1))
-        self.by_block = np.tile(np.array([2, 2, 1, 8], np.int64), (lanes, 1))
-        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def frequencies(self, n: int) -> np.ndarray:
-        """Cumulative frequencies, of 4096, of the four cases for the first n blocks."""
-        lane = self.base[:n]
-        self.at2 = lane + ((self.last[:n] * np.uint32(2654435761) ^ self.before[:n] * np.uint32(2246822519)) >> np.uint32(22))
-        self.at1 = lane + (self.last[:n] * np.uint32(3266489917) >> np.uint32(22))
-        self.guess2, self.guess1 = self.second[self.at2], self.first[self.at1]
-        self.context = self.lane[:n] * 16 + self.trust2[self.at2] * 4 + self.trust1[self.at1]
-        weight = self.by_trust[self.context] + self.by_block[:n]
-        share = 1 + weight * 4092 // weight.sum(1, keepdims=True)
-        out = np.zeros((n, 5), np.uint64)
-        np.cumsum(share[:, :3], axis=1, out=out[:, 1:4], dtype=np.uint64)
-        out[:, 4] = 4096
-        return out
-
-    def case(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == self.guess2, 0, np.where(ids == self.guess1, 1, np.where(ids == self.best[: len(ids)], 2, 3)))
+        self.base, self.quad = self.lane * SLOTS, self.lane * 4
+        #: Of each slot: rank + 1 in the upper bits, confidence in the lower two; 0 if empty.
+        self.second = np.zeros(lanes * SLOTS, np.uint32)
+        self.by_trust = np.tile(np.array([256, 1024, 2048, 3584], np.int32), lanes)
+        self.by_block, self.rare = np.full(lanes, 512, np.int32), np.full(lanes, 256, np.int32)
+        self.last, self.before = np.full(lanes, head.kinds, np.uint32), np.full(lanes, head.kinds, np.uint32)
+        self.shift = np.uint32(32 - SLOTS.bit_length() + 1)
+
+    def weights(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The weights, of _ONE, of order 2 and of orders 2 and 1, for the first n blocks."""
+        last = self.last[:n]
+        self.at = self.base[:n] + ((last * np.uint32(2654435761) + self.before[:n] * np.uint32(2246822519)) >> self.shift)
+        cell = self.second[self.at]
+        self.guess = (cell >> np.uint32(2)) - np.uint32(1)
+        self.trust = cell & np.uint32(3)
+        self.context = self.quad[:n] + self.trust
+        self.own = self.by_trust[self.context]
+        two = np.where(cell > 0, np.maximum((self.own + self.by_block[:n]) >> 1, 16), 0)
+        rare = self.head.rare[last]
+        none = ((_ONE - two) * ((3 * rare + self.rare[:n]) >> 2)) >> MIX
+        none = np.where(rare == _ONE, _ONE - two, np.minimum(np.maximum(none, 1), _ONE - 1 - two))
+        return two.astype(np.int64), (_ONE - none).astype(np.int64)
 
     def update(self, ids: np.ndarray, case: np.ndarray) -> None:
+        """case: 0 for order 2, 1 for order 1, 2 for order 0."""
         n = len(ids)
-        self.by_trust[self.context, case] += 4
-        self.by_block[self.lane[:n], case] += 1
-        for table, trust, at, guess in ((self.second, self.trust2, self.at2, self.guess2), (self.first, self.trust1, self.at1, self.guess1)):
-            table[at] = ids
-            trust[at] = np.where(ids == guess, np.minimum(trust[at] + 1, 3), 0)
-        at = self.base[:n] + (ids * np.uint32(2654435761) >> np.uint32(22))
-        count = self.seen[at] = self.seen[at] + 1
-        more = count >= self.most[:n]
-        self.best[:n] = np.where(more, ids, self.best[:n])
-        self.most[:n] = np.where(more, count, self.most[:n])
+        hit = case == 0
+        goal = hit.astype(np.int32) << MIX
+        self.by_trust[self.context] = self.own + ((goal - self.own) >> 4)
+        self.by_block[:n] += (goal - self.by_block[:n]) >> 6
+        rare = self.rare[:n]
+        rare += np.where(hit, 0, ((case == 2).astype(np.int32) * _ONE - rare) >> 6)
+        self.second[self.at] = (ids + np.uint32(1) << np.uint32(2)) | np.where(hit, np.minimum(self.trust + np.uint32(1), np.uint32(3)), np.uint32(0))
         self.before[:n], self.last[:n] = self.last[:n], ids
 
 
-def _encode_lanes(ids: np.ndarray, sizes: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray]:
-    """16-bit words of each row of ids (sizes: tokens of the rows, longest first), and how many."""
-    lanes = len(sizes)
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-    out, used = np.zeros((lanes, 3 * ids.shape[1] + 8), np.uint16), np.zeros(lanes, np.int64)
+def _encode_lanes(ids: np.ndarray, pair: np.ndarray, lasts: int, head: _Head) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit words of each block, and how many.  ids: a row for each step, a column for each block; the last block has
+    `lasts` ids.  pair: the place of (id before, id) in the head's order 1, or -1."""
+    steps, lanes = ids.shape
+    model, bits = _Model(lanes, head), np.uint64(head.bits + MIX)
+    freq0, cum0 = head.freq0, head.cum0
+    freq1, cum1 = np.append(head.freq1, 0), np.append(head.cum1, 0)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0), np.uint64)
+    out, used = np.zeros((lanes, steps + 4), np.uint32), np.zeros(lanes, np.int64)
 
     def emit(at: np.ndarray) -> None:
-        out[at, used[at]] = (low[at] >> np.uint64(32)).astype(np.uint16)
+        out[at, used[at]] = (low[at] >> _LOW).astype(np.uint32)
         used[at] += 1
-        low[at] = (low[at] << np.uint64(16)) & _MASK
-        span[at] <<= np.uint64(16)
-
-    def narrow(at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: np.uint64) -> None:
-        step = span[at] >> bits
-        low[at] += start * step
-        span[at] = size * step
-
-    def settle(at: np.ndarray) -> None:
-        while len(at):
-            a, s = low[at], span[at]
-            same = (a ^ (a + s)) < _TOP
-            tight = ~same & (s < _BOT)
-            if tight.any():
-                span[at[tight]] = (np.uint64(0) - a[tight]) & (_BOT - np.uint64(1))
-            at = at[same | tight]
-            emit(at)
-
-    for t in range(ids.shape[1]):
-        n = int(np.searchsorted(-sizes, -t, "left"))  # rows longer than t
-        if not n:
-            break
-        x = ids[:n, t]
-        cumulative = model.frequencies(n)
-        case = model.case(x)
-        rows = model.lane[:n]
-        start = cumulative[rows, case]
-        narrow(slice(0, n), start, cumulative[rows, case + 1] - start, _TOTAL_BITS)
-        settle(rows)
-        odd = np.flatnonzero(case == 3)
-        if len(odd):
-            for shift in (16, 0) if wide else (0,):
-                narrow(odd, (x[odd] >> np.uint32(shift) & np.uint32(0xFFFF)).astype(np.uint64), np.uint64(1), np.uint64(16))
-                settle(odd)
+        low[at] <<= _LOW
+
+    for t in range(steps):
+        n = lanes if t < lasts else lanes - 1
+        x, at1 = ids[t, :n], pair[t, :n]
+        two, one = model.weights(n)
+        case = np.where(x == model.guess, 0, np.where(at1 >= 0, 1, 2))
+        share = np.where(case == 1, one - two, _ONE - one)
+        start = np.where(case == 0, 0, np.where(case == 1, (two << head.bits) + share * cum1[at1], (one << head.bits) + share * cum0[x])).astype(np.uint64)
+        size = np.where(case == 0, two << head.bits, share * np.where(case == 1, freq1[at1], freq0[x])).astype(np.uint64)
+        step = span[:n] >> bits
+        start *= step
+        low[:n] += start
+        carry = np.flatnonzero(low[:n] < start)
+        if len(carry):
+            place = used[carry] - 1
+            while len(carry):
+                out[carry, place] += np.uint32(1)
+                more = out[carry, place] == 0
+                carry, place = carry[more], place[more] - 1
+        span[:n] = size * step
+        tight = np.flatnonzero(span[:n] < _ROOM)
+        if len(tight):
+            emit(tight)
+            span[tight] <<= _LOW
         model.update(x, case)
-    for _ in range(3):
+    for _ in range(2):
         emit(np.arange(lanes))
     return out, used
 
 
-def _decode_lanes(words: np.ndarray, sizes: np.ndarray, wide: bool) -> np.ndarray:
-    """The ids again."""
-    lanes = len(sizes)
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _MASK, np.uint64)
-    words = np.concatenate([words, np.zeros((lanes, 4), np.uint16)], 1)
-    code = words[:, 0].astype(np.uint64) << np.uint64(32) | words[:, 1].astype(np.uint64) << np.uint64(16) | words[:, 2].astype(np.uint64)
-    used = np.full(lanes, 3)
-    ids = np.zeros((lanes, int(sizes.max(initial=0))), np.uint32)
-    last = words.shape[1] - 1
-
-    def settle(at: np.ndarray) -> None:
-        while len(at):
-            a, s = low[at], span[at]
-            same = (a ^ (a + s)) < _TOP
-            tight = ~same & (s < _BOT)
-            if tight.any():
-                span[at[tight]] = (np.uint64(0) - a[tight]) & (_BOT - np.uint64(1))
-            at = at[same | tight]
-            low[at] = (low[at] << np.uint64(16)) & _MASK
-            code[at] = (code[at] << np.uint64(16)) & _MASK | words[at, np.minimum(used[at], last)]
-            used[at] += 1
-            span[at] <<= np.uint64(16)
-
-    for t in range(ids.shape[1]):
-        n = int(np.searchsorted(-sizes, -t, "left"))
-        cumulative = model.frequencies(n)
-        rows = model.lane[:n]
-        step = span[:n] >> _TOTAL_BITS
-        value = np.minimum((code[:n] - low[:n]) // step, np.uint64(4095))
-        case = (value[:, None] >= cumulative[:, 1:4]).sum(1)
-        start = cumulative[rows, case]
-        low[:n] += start * step
-        span[:n] = (cumulative[rows, case + 1] - start) * step
-        settle(rows)
-        x = np.where(case == 0, model.guess2, np.where(case == 1, model.guess1, model.best[:n]))
-        odd = np.flatnonzero(case == 3)
-        if len(odd):
-            found = np.zeros(len(odd), np.uint64)
-            for _ in (16, 0) if wide else (0,):
-                step = span[odd] >> np.uint64(16)
-                value = np.minimum((code[odd] - low[odd]) // step, np.uint64(0xFFFF))
-                low[odd] += value * step
-                span[odd] = step
-                settle(odd)
-                found = found << np.uint64(16) | value
-            x[odd] = found.astype(np.uint32)
-        ids[:n, t] = x
-        model.update(x, case)
+def _decode_lanes(words: np.ndarray, steps: int, lasts: int, head: _Head) -> np.ndarray:
+    """The ranks again, a row for each step."""
+    lanes = len(words)
+    model, bits = _Model(lanes, head), np.uint64(head.bits + MIX)
+    span = np.full(lanes, ~np.uint64(0), np.uint64)
+    words = np.concatenate([words, np.zeros((lanes, 3), np.uint32)], 1).astype(np.uint64)
+    code = words[:, 0] << _LOW | words[:, 1]
+    used, most = np.full(lanes, 2), words.shape[1] - 1
+    ids = np.zeros((steps, lanes), np.uint32)
+    top = np.uint64((1 << head.bits + MIX) - 1)
+    at1 = np.concatenate([head.at1, [(head.kinds + 2) << head.bits]])
+    for t in range(steps):
+        n = lanes if t < lasts else lanes - 1
+        two, one = model.weights(n)
+        step = span[:n] >> bits
+        value = np.minimum(code[:n] // step, top).astype(np.int64)
+        high = value >> head.bits
+        case = (high >= two).astype(np.int64) + (high >= one)
+        x, start, size = model.guess.astype(np.int64), np.zeros(n, np.int64), two << head.bits
+        k = np.flatnonzero(case == 1)
+        if len(k):
+            share, begin = (one - two)[k], two[k] << head.bits
+            j = np.searchsorted(at1, (model.last[k].astype(np.int64) << head.bits) + (value[k] - begin) // share, "right") - 1
+            x[k], start[k], size[k] = head.next[j], begin + share * head.cum1[j], share * head.freq1[j]
+        k = np.flatnonzero(case == 2)
+        if len(k):
+            share, begin = (_ONE - one)[k], one[k] << head.bits
+            j = np.searchsorted(head.at0, (value[k] - begin) // share, "right") - 1
+            x[k], start[k], size[k] = j, begin + share * head.cum0[j], share * head.freq0[j]
+        code[:n] -= start.astype(np.uint64) * step
+        span[:n] = size.astype(np.uint64) * step
+        tight = np.flatnonzero(span[:n] < _ROOM)
+        if len(tight):
+            code[tight] = code[tight] << _LOW | words[tight, np.minimum(used[tight], most)]
+            used[tight] += 1
+            span[tight] <<= _LOW
+        ids[t, :n] = x
+        model.update(ids[t, :n], case)
     return ids
 
 
+def _ranks(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different ids, how often each occurs, and each id's rank among them."""
+    if int(flat.max()) < 1 << 22:
+        counts = np.bincount(flat)
+        kinds = np.flatnonzero(counts)
+        rank = np.zeros(len(counts), np.int64)
+        rank[kinds] = np.arange(len(kinds))
+        return kinds, counts[kinds], rank[flat]
+    kinds, rank, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    return kinds.astype(np.int64), counts, rank.astype(np.int64)
+
+
 def encode_segment(doc_ids: list[int], tokens: list[np.ndarray]) -> bytes:
-    """One segment of whole documents."""
+    """One segment of whole documents.  More than half a million different ids in one segment raise ValueError."""
     flat = np.concatenate(tokens).astype(np.uint32) if tokens else np.zeros(0, np.uint32)
-    sizes = np.full(-(-len(flat) // BLOCK), BLOCK, np.int64)
-    if len(flat) % BLOCK:
-        sizes[-1] = len(flat) % BLOCK
-    padded = np.zeros((len(sizes), BLOCK), np.uint32)
-    padded.ravel()[: len(flat)] = flat
-    wide = bool(len(flat) and flat.max() > 0xFFFF)
-    words, used = _encode_lanes(padded, sizes, wide) if len(sizes) else (np.zeros((0, 0), np.uint16), np.zeros(0, np.int64))
-    checks = [zlib.crc32(flat[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) for i in range(len(sizes))]
-    head = b"TKS1" + np.array([len(doc_ids), len(sizes), wide], "<u4").tobytes()
-    body = [w[:n].astype("<u2").tobytes() for w, n in zip(words, used.tolist(), strict=True)]
-    return head + np.array(doc_ids, "<i8").tobytes() + np.array([len(t) for t in tokens], "<u4").tobytes() + np.stack([sizes, used, np.array(checks, np.int64)], 1).astype("<u4").tobytes() + b"".join(body)
+    block = min(BLOCK, max(256, len(flat) // 512))
+    lanes = -(-len(flat) // block)
+    front = np.array(doc_ids, "<i8").tobytes() + np.array([len(t) for t in tokens], "<u4").tobytes()
+    if not lanes:
+        return b"TKS2" + np.array([len(doc_ids), 0, 0, 0], "<u4").tobytes() + front
+    kinds, counts, rank = _ranks(flat)
+    before = np.concatenate([[len(kinds)], rank[:-1]])
+    before[::block] = len(kinds)
+    raw = _Head.of(rank, before, kinds, counts)
+    head = _Head(raw)
+    key = before * (len(kinds) + 1) + rank
+    pair = np.minimum(np.searchsorted(head.key, key), max(len(head.key) - 1, 0))
+    pair = np.where(head.key[pair] == key, pair, -1) if len(head.key) else np.full(len(key), -1)
+    steps = min(block, len(flat))
+
+    def across(x: np.ndarray, kind: type) -> np.ndarray:
+        padded = np.zeros(lanes * steps, kind)
+        padded[: len(x)] = x
+        return np.ascontiguousarray(padded.reshape(lanes, steps).T)
+
+    sizes = np.full(lanes, block, np.int64)
+    sizes[-1] = len(flat) - (lanes - 1) * block
+    words, used = _encode_lanes(across(rank, np.uint32), across(pair, np.int32), int(sizes[-1]), head)
+    checks = [zlib.crc32(flat[i * block : (i + 1) * block].astype("<u4").tobytes()) for i in range(lanes)]
+    body = [w[:n].astype("<u4").tobytes() for w, n in zip(words, used.tolist(), strict=True)]
+    table = np.stack([sizes, used, np.array(checks, np.int64)], 1).astype("<u4").tobytes()
+    return b"TKS2" + np.array([len(doc_ids), lanes, len(raw), zlib.crc32(raw)], "<u4").tobytes() + front + table + raw + b"".join(body)
 
 
 def decode_segment(raw: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Documents' ids and tokens.  A block whose checksum is wrong raises ValueError."""
-    if raw[:4] != b"TKS1":
+    """Documents' ids and tokens.  A head or block whose checksum is wrong raises ValueError."""
+    if raw[:4] != b"TKS2":
         raise ValueError("not a segment")
-    docs, blocks, wide = np.frombuffer(raw, "<u4", 3, 4).tolist()
-    at = 16
+    docs, blocks, size, check = np.frombuffer(raw, "<u4", 4, 4).tolist()
+    at = 20
     doc_ids = np.frombuffer(raw, "<i8", docs, at)
     lengths = np.frombuffer(raw, "<u4", docs, at + 8 * docs).astype(np.int64)
     at += 12 * docs
-    table = np.frombuffer(raw, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
-    at += 12 * blocks
     if not blocks:
         return doc_ids, [np.zeros(0, np.uint32)] * docs
-    data = np.frombuffer(raw, "<u2", int(table[:, 1].sum()), at)
-    words = np.zeros((blocks, int(table[:, 1].max())), np.uint16)
+    table = np.frombuffer(raw, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
+    at += 12 * blocks
+    if zlib.crc32(raw[at : at + size]) != check:
+        raise ValueError("the head is damaged")
+    head = _Head(raw[at : at + size])
+    data = np.frombuffer(raw, "<u4", int(table[:, 1].sum()), at + size)
+    words = np.zeros((blocks, int(table[:, 1].max())), np.uint32)
     ends = np.cumsum(table[:, 1])
     for i in range(blocks):
         words[i, : table[i, 1]] = data[ends[i] - table[i, 1] : ends[i]]
-    ids = _decode_lanes(words, table[:, 0], bool(wide))
+    rank = _decode_lanes(words, int(table[0, 0]), int(table[-1, 0]), head)
+    # a damaged block may give a rank that isn't there; its checksum tells
+    ids = head.ids.astype(np.uint32)[np.minimum(rank.T, head.kinds - 1)]
     parts = [ids[i, : table[i, 0]] for i in range(blocks)]
-    for part, check in zip(parts, table[:, 2].tolist(), strict=True):
-        if zlib.crc32(part.astype("<u4").tobytes()) != check:
+    for part, own in zip(parts, table[:, 2].tolist(), strict=True):
+        if zlib.crc32(part.astype("<u4").tobytes()) != own:
             raise ValueError("a block is damaged")
     return doc_ids, np.split(np.concatenate(parts), np.cumsum(lengths)[:-1])
 
 
+class _Kept(dict):
+    """Ids of stretches, in two generations: what isn't asked for while KEPT others come goes."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.old[word]
+        return found
+
+    def turn(self) -> None:
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+
+
 class Tokens:
     """A tokenizer of the tokenizers library, asked once for each stretch between spaces.
 
-    Its pre-tokenizer never joins what stands before a space and what follows it, so a text in which each space stands
-    alone, after and before something else, is encoded stretch by stretch; any other text goes to the library as a whole."""
-
-    _ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+    Its pre-tokenizer never joins what stands before a space or around a line end with what follows, so a text whose white
+    space is single spaces and line ends, none of them first or last, is encoded stretch by stretch; any other text goes to
+    the library as a whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -238,25 +340,32 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.kept: dict[str, bytes] = {}
+        self.kept = _Kept()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         kept = self.kept
-        if len(kept) > KEPT:
-            kept.clear()
-        stretches = [None if self._ODD.search(t) else _stretches(t) for t in texts]
-        new = list({w for s in stretches if s for w in s if w not in kept})
+        kept.turn()
+        stretches = [_stretches(t) for t in texts]
+        new: set[str] = set()
+        for s in stretches:
+            new.update(s or ())
+        new = [w for w in new if w not in kept and w not in kept.old]
         for i in range(0, len(new), 20_000):
             for w, e in zip(new[i : i + 20_000], self.batch(new[i : i + 20_000], add_special_tokens=False), strict=True):
-                kept[w] = np.array(e.ids, np.uint32).tobytes()
+                kept[w] = array("I", e.ids).tobytes()
         return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) if s is None else np.frombuffer(b"".join(map(kept.__getitem__, s)), np.uint32) for s, x in zip(stretches, texts, strict=True)]
 
 
-def _stretches(text: str) -> list[str]:
-    """The text cut before each space."""
-    if "\0" in text:
-        return [text]
-    return text.replace(" ", "\0 ").split("\0") if text else []
+def _stretches(text: str) -> list[str] | None:
+    """The text cut before each space and around each line end; None if its white space isn't as plain as that."""
+    if not text:
+        return []
+    lines = text.count("\n")
+    if "\0" in text or len(text.split()) != text.count(" ") + lines + 1:
+        return None
+    if lines:
+        text = text.replace("\n", "\0\n\0")
+    return text.replace(" ", "\0 ").split("\0")
 
 
 @lru_cache(maxsize=1)
@@ -296,6 +405,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
                         number, held = number + 1, 0
         if ids:
             yield flush()
+        release()
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")

@@ -419,23 +419,37 @@ def test_language_model_gradients():
 @pytest.mark.parametrize("top", [300, 50257, 200_000])
 def test_token_blocks(top):
     rng = np.random.default_rng(top)
-    docs = [(rng.zipf(1.4, n) % top).astype(np.uint32) for n in (0, 1, 1023, 1024, 1025, 5000, 0)] + [np.full(3000, 7, np.uint32)]
-    raw = token_coder.encode_segment(list(range(-2, 6)), docs)
+    docs = [(rng.zipf(1.4, n) % top).astype(np.uint32) for n in (0, 1, 255, 256, 257, 5000, 300_000, 0)] + [np.full(3000, 7, np.uint32), np.array([(1 << 32) - 1], np.uint32)]
+    raw = token_coder.encode_segment(list(range(-2, 8)), docs)
     ids, back = token_coder.decode_segment(raw)
-    assert ids.tolist() == list(range(-2, 6)) and all(np.array_equal(a, b) for a, b in zip(docs, back, strict=True))
-    broken = bytearray(raw)
-    broken[-200] ^= 1
-    with pytest.raises(ValueError):
-        token_coder.decode_segment(bytes(broken))
+    assert ids.tolist() == list(range(-2, 8)) and all(np.array_equal(a, b) for a, b in zip(docs, back, strict=True))
+    for at in (-200, len(raw) // 2):
+        broken = bytearray(raw)
+        broken[at] ^= 1
+        with pytest.raises(ValueError):
+            token_coder.decode_segment(bytes(broken))
     assert token_coder.decode_segment(token_coder.encode_segment([1], [np.zeros(0, np.uint32)]))[1][0].size == 0
 
 
+def test_token_blocks_are_smaller_than_order_0_allows():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rng = random.Random(9)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "er")]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    texts = [" ".join(words[min(int(rng.paretovariate(0.7)), 2999)] for _ in range(400)) + "." for _ in range(300)]
+    tokens = token_coder.Tokens(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
+    flat = np.concatenate(tokens)
+    share = np.bincount(flat)[np.unique(flat)] / len(flat)
+    entropy = float(-(share * np.log2(share)).sum())
+    assert 8 * len(token_coder.encode_segment(list(range(300)), tokens)) / len(flat) < 0.9 * entropy
+
+
 def test_token_files(spark, docs, tmp_path, monkeypatch):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    more = spark.createDataFrame([(300, "a  b <|endoftext|> c\n\n d e "), (301, "it's\ttabs\x00 nul")], "doc_id long, text string")
+    more = spark.createDataFrame([(300, "a  b <|endoftext|> c\n\n d e "), (301, "it's\ttabs\x00 nul"), (302, "two\n\nends.\nA b\nc "), (303, "lines\nof 3 words.\nIt's \u00a0 d\u2028e"), (304, "long " * 60_000 + "end")], "doc_id long, text string")
     every = docs.select("doc_id", "text").unionByName(more)
     token_coder.write_ids(every, f"file://{tmp_path}/ids", path, end_id=2)
     own = Tokenizer.from_file(path)
