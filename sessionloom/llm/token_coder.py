@@ -35,7 +35,7 @@ from .common import release, shared_folder
 BLOCK, SEGMENT, SLOTS = 4096, 1 << 22, 1 << 12
 #: Bits of the mixing weights.  Successors of an id that occur less often than LEAST are left to order 0.
 MIX, LEAST = 12, 2
-KEPT = 1 << 19
+KEPT = 1 << 18
 _ONE = 1 << MIX
 _LOW = np.uint64(32)
 _ROOM = np.uint64(1 << 32)
