@@ -35,7 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, n_giant, decoded and ids of each row."""
+    """doc_id, n_tokens, ids_crc32, n_chunks, decoded and ids of each row."""
     return sentencepiece_scan.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
