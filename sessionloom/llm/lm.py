@@ -1,11 +1,20 @@
 """LM scoring by masked pseudo-likelihood.
 
 A window network predicts each word from the two words before it and the two after it; a document's score is the sum of the
-words' conditional log-probabilities.  The vocabulary comes from counts of all words of all documents and grows with them:
-words above a count are ids of their own, the others share hashed ids, a third as many.  A shared id's probability is split
-among its words by their counts; words below a second, lower count get what is left in equal parts.  So the probabilities of
-all words of the corpus add up to 1.  An id is predicted in two steps, its class and itself within the class.  Training is numpy's: every partition makes one pass over all its documents, by minibatches and Adagrad, from the same
-start, and the partitions' weights are averaged by their words, level by level in executors.
+words' conditional log-probabilities.  Everything the network knows is counted over all words of all documents, in whole
+numbers, so it and the scores are the same however the table is cut into partitions.
+
+Words and units.  Of N words in all the most frequent ones are units of the network of their own; the others share units, a
+third as many, by their hashes.  There are 1024 units, or 1024 * (N / 2**25)**(1/6) if that is more.  A shared unit's
+probability is split among its words by their counts: those that occur sqrt(N) / LISTED times have their own, rarer ones what
+these leave, in equal parts.  A word that occurs nowhere else in the corpus can't be known from other documents: it gets the
+unit's part of such words and is spelled, octet by octet, each of the 256 and the end of the word with equal probability.  So
+the probabilities of all words add up to 1, and a document that has a copy is told apart from one that has none.
+
+The network.  Its input layer holds the units at the four places around a word, one weight for each place, unit and output;
+its output is a softmax over classes of units, then one over the class's units.  A weight is the logarithm of how much more
+often that output is found at that distance from that unit than elsewhere, shrunk by SHRINK counts.  The gains of the two
+distances in each softmax are trained: a Newton step on the pseudo-likelihood of all words.
 """
 
 from __future__ import annotations
@@ -23,84 +32,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, materialize, text_bytes
+from .common import drop, materialize, release, text_bytes
 
-#: The least vocabulary's classes, ids of a class and ids of single words; words before and after; sizes of an embedding and
-#: of the hidden layer.  Words of a training step and of a scoring step; weights averaged by one task.
-#: Of N words in all, those that occur sqrt(N) / OWN times are ids of their own, those of sqrt(N) / LISTED times have counts.
-CLASSES, WIDTH, TOP, SIDE, EMBED, HIDDEN = 32, 32, 767, 2, 8, 16
-VOCABULARY = CLASSES * WIDTH
-BATCH, SCORED, FAN = 16384, 65536, 64
-OWN, LISTED = 4, 64
+#: The least number of units, and words in all up to which it stays; words before and after; the count, as a part of the root
+#: of all words, from which a word's count is kept; the shrinkage of weights; words of a step; parts of the table of pairs.
+UNITS, SMALL, SIDE, LISTED, SHRINK, STEP, PARTS = 1024, 1 << 25, 2, 64, 20.0, 16384, 64
+#: The gains before training.
+GAINS = (0.5, 0.3)
+_SPELL = float(np.log(1 / 257))
 
 
-def _shapes(classes: int, width: int) -> list[tuple[int, ...]]:
-    return [(classes * width, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,), (classes, HIDDEN, width), (classes, width)]
+def _document(doc_id: str, text: str):
+    """A document's key: rows with one id and text have one."""
+    return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h, n): how often each word, by its hash, occurs in all documents.  Counts are added up in tasks before they move."""
+def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(h, n, document, size): how often each word, by its hash, occurs in all documents, a document that has it, and its
+    octets.  Counts are added up in tasks before they move."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        owner: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
             h = np.fromiter((xxhash.xxh64_intdigest(w) for w in counts), np.uint64, len(counts)).view(np.int64)
             n = np.fromiter(counts.values(), np.int64, len(counts))
+            who = np.fromiter(map(owner.__getitem__, counts), np.int64, len(counts))
+            size = np.fromiter(map(len, counts), np.int64, len(counts))
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+            owner.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n), pa.array(who), pa.array(size)], ["h", "n", "document", "size"])
 
         for batch in batches:
-            for body in text_bytes(batch.column(0)):
-                counts.update((body or b"").split())
-                if len(counts) > 500_000:
+            for body, key in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                words = (body or b"").split()
+                counts.update(words)
+                owner.update(dict.fromkeys(words, key))
+                if len(counts) > 300_000:
                     yield flush()
         yield flush()
+        release()
 
-    return docs.select(F.col(text)).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text).alias("text"), _document(doc_id, text).alias("key")).mapInArrow(run, "h long, n long, document long, size long")
+    return rows.groupBy("h").agg(F.sum("n").alias("n"), F.max("document").alias("document"), F.max("size").alias("size"))
 
 
 class Vocabulary(NamedTuple):
-    """Codes of words: 0 is the edge of a document, then the listed words by hash, then each shared id's other words.
+    """Codes of words: 0 is the edge of a document, then the listed words by hash, then each shared unit's other words.
 
-    ids and shares: each code's id, and the logarithm of the word's share of that id's probability."""
+    units and shares: each code's unit, and the logarithm of the word's share of that unit's probability.  alone: the
+    logarithm of the share, in each shared unit, of all words that occur once."""
 
     hashes: np.ndarray
-    ids: np.ndarray
+    units: np.ndarray
     shares: np.ndarray
+    alone: np.ndarray
     top: int
-    classes: int
-    width: int
-
-
-def vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
-    """The vocabulary of all words of docs.  The driver sees the listed words, about sqrt(N) of N, and a row per shared id."""
-    counts, path = materialize(word_counts(docs, text), "counts")
-    root = float(counts.agg(F.sum("n")).first()[0] or 0) ** 0.5
-    rows = counts.where(F.col("n") >= root / LISTED).toArrow()
-    if len(rows) < TOP:
-        rows = counts.orderBy(F.desc("n"), "h").limit(TOP).toArrow()
+    side: int
+
+    @property
+    def size(self) -> int:
+        return self.side * self.side
+
+    @property
+    def shared(self) -> int:
+        return self.size - self.top - 1
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The vocabulary of word_counts().  The driver sees the listed words, about sqrt(N) of N, and a row per shared unit."""
+    total = float(counts.agg(F.sum("n")).first()[0] or 0)
+    side = int(np.ceil(np.sqrt(UNITS * max(1.0, total / SMALL) ** (1 / 6))))
+    top = side * side * 3 // 4 - 1
+    shared = side * side - top - 1
+    least = max(2.0, total**0.5 / LISTED)
+    rows = counts.where(F.col("n") >= least).select("h", "n").toArrow()
+    if len(rows) < top:
+        rows = counts.where("n > 1").orderBy(F.desc("n"), "h").limit(top).select("h", "n").toArrow()
     h, n = rows["h"].to_numpy(), rows["n"].to_numpy()
     order = np.lexsort((h, -n))
     h, n = h[order], n[order]
-    top = min(len(h), max(TOP, int((n >= root / OWN).sum())))
-    classes, width = CLASSES, WIDTH
-    if top > TOP:
-        classes = width = int(np.ceil(np.sqrt(top + 1 + top // 3)))
-    shared = classes * width - top - 1
-    total, rest, kinds = np.zeros(shared), np.zeros(shared), np.zeros(shared)
-    np.add.at(total, h[top:] % shared, n[top:])
-    if len(h):
-        others = counts.where((F.col("n") < int(n[-1])) | ((F.col("n") == int(n[-1])) & (F.col("h") > int(h[-1]))))
-        for r in others.groupBy(F.pmod("h", F.lit(shared)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect():
-            rest[r["k"]], kinds[r["k"]] = r["n"], r["kinds"]
-    drop(docs.sparkSession, path)
-    total += rest
-    ids = np.concatenate([np.arange(1, top + 1), top + 1 + h[top:] % shared])
-    shares = np.concatenate([np.zeros(top), np.log(n[top:] / total[h[top:] % shared])])
+    whole, rest, kinds, once = (np.zeros(shared) for _ in range(4))
+    np.add.at(whole, h[top:] % shared, n[top:])
+    others = counts.where((F.col("n") < int(n[-1])) | ((F.col("n") == int(n[-1])) & (F.col("h") > int(h[-1])))) if len(h) else counts
+    single = F.col("n") == 1
+    if total:
+        found = others.groupBy(F.pmod("h", F.lit(shared)).alias("k")).agg(F.sum(F.when(single, 0).otherwise(F.col("n"))).alias("n"), F.count(F.when(~single, 1)).alias("kinds"), F.count(F.when(single, 1)).alias("once"))
+        for r in found.collect():
+            rest[r["k"]], kinds[r["k"]], once[r["k"]] = r["n"], r["kinds"], r["once"]
+    whole += rest + once
+    units = np.concatenate([np.arange(1, min(top, len(h)) + 1), top + 1 + h[top:] % shared])
+    shares = np.concatenate([np.zeros(min(top, len(h))), np.log(n[top:] / np.maximum(whole[h[top:] % shared], 1))])
     order = np.argsort(h)
-    every = np.log(np.maximum(rest, 1) / np.maximum(kinds, 1) / np.maximum(total, 1))
-    return Vocabulary(h[order], np.concatenate([[0], ids[order], top + 1 + np.arange(shared)]).astype(np.int32), np.concatenate([[0.0], shares[order], every]), top, classes, width)
+    every = np.log(np.maximum(rest, 1) / np.maximum(kinds, 1) / np.maximum(whole, 1))
+    alone = np.log(np.maximum(once, 1) / np.maximum(whole, 1))
+    return Vocabulary(h[order], np.concatenate([[0], units[order], top + 1 + np.arange(shared)]).astype(np.int32), np.concatenate([[0.0], shares[order], every]), alone, top, side)
 
 
 class _Codes(dict):
@@ -108,7 +135,7 @@ class _Codes(dict):
 
     def __init__(self, words: Vocabulary):
         super().__init__()
-        self.hashes, self.shared = array("q", words.hashes.tobytes()), words.classes * words.width - words.top - 1
+        self.hashes, self.shared = array("q", words.hashes.tobytes()), words.shared
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
@@ -120,75 +147,6 @@ class _Codes(dict):
         return found
 
 
-def _start(seed: int = 4, classes: int = CLASSES, width: int = WIDTH) -> list[np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(seed))
-    return [(rng.standard_normal(s) * (0.3 if i == 0 else 0.0 if len(s) == 1 or i == 6 else 0.2)).astype(np.float32) for i, s in enumerate(_shapes(classes, width))]
-
-
-def _pack(weights: list[np.ndarray]) -> bytes:
-    return np.concatenate([w.ravel() for w in weights]).astype(np.float32).tobytes()
-
-
-def _unpack(raw: bytes, classes: int, width: int) -> list[np.ndarray]:
-    shapes = _shapes(classes, width)
-    flat, ends = np.frombuffer(raw, np.float32), np.cumsum([int(np.prod(s)) for s in shapes])
-    return [x.reshape(s).copy() for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
-
-
-def _exponents(hidden: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the logits and its sum in each row.  hidden is within -1 and 1, so weights bound the logits; only where that
-    bound could overflow is the largest of each row taken off first."""
-    z = hidden @ w + b
-    if np.abs(w).sum(0).max() + np.abs(b).max() > 80:
-        z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    return z, z @ np.ones(z.shape[1], z.dtype)
-
-
-def _forward(weights: list[np.ndarray], context: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, list[np.ndarray] | None]:
-    """Log-probabilities of the targets, and the gradients of their mean."""
-    embed, w1, b1, wc, bc, wu, bu = weights
-    n, (classes, width) = len(target), bu.shape
-    order = np.argsort((target // width).astype(np.int16), kind="stable")
-    context, target = context[order], target[order]
-    cls, member = target // width, target % width
-    x = np.take(embed, context, axis=0).reshape(n, -1)
-    hidden = np.tanh(x @ w1 + b1)
-    cuts = np.searchsorted(cls, np.arange(classes + 1))
-    rows = np.arange(n)
-    p, total = _exponents(hidden, wc, bc)
-    score = np.log(np.maximum(p[rows, cls] / total, 1e-30))
-    if learn:
-        p /= total[:, None]
-        p[rows, cls] -= 1
-        p /= n
-        back = p @ wc.T
-        gwu, gbu = np.zeros_like(wu), np.zeros_like(bu)
-    for c in range(classes):
-        a, b = cuts[c], cuts[c + 1]
-        if a == b:
-            continue
-        q, total = _exponents(hidden[a:b], wu[c], bu[c])
-        own = rows[: b - a], member[a:b]
-        score[a:b] += np.log(np.maximum(q[own] / total, 1e-30))
-        if learn:
-            q /= total[:, None]
-            q[own] -= 1
-            q /= n
-            gwu[c], gbu[c] = hidden[a:b].T @ q, q.sum(0)
-            back[a:b] += q @ wu[c].T
-    out = np.empty(n, np.float64)
-    out[order] = score
-    if not learn:
-        return out, None
-    gwc, gbc = hidden.T @ p, p.sum(0)
-    back *= 1 - hidden * hidden
-    gx = (back @ w1.T).reshape(-1, EMBED)
-    flat = context.ravel()
-    gembed = np.stack([np.bincount(flat, gx[:, k], len(embed)) for k in range(EMBED)], 1).astype(np.float32)
-    return out, [gembed, x.T @ back, back.sum(0), gwc, gbc, gwu, gbu]
-
-
 def _codes(batch: pa.RecordBatch, column: int, codes: _Codes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of documents: first row, codes with SIDE edges around each document, words of each document."""
     first, held, ids, sizes = 0, 0, [np.zeros(SIDE, np.int32)], []
@@ -209,67 +167,212 @@ def _places(sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + SIDE * (1 + np.repeat(np.arange(len(sizes)), sizes))
 
 
+#: The places of the window, and the distance of each as an index of gains.
 _AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
+_DISTANCE = np.abs(_AROUND) - 1
+
+
+def _blob(counts: np.ndarray) -> bytes:
+    """Counts of a part of the table: places of those above zero, as steps, and the counts, by octet planes, compressed."""
+    at = np.flatnonzero(counts)
+    both = np.stack([np.diff(at, prepend=0), counts[at]]).astype("<u8")
+    return np.int64(len(at)).tobytes() + pa.compress(np.ascontiguousarray(both.view(np.uint8).reshape(2 * len(at), 8).T).tobytes(), "zstd", asbytes=True)
 
 
-def train(docs: DataFrame, text: str = "text", rate: float = 0.1) -> tuple[Vocabulary, list[np.ndarray]]:
-    """The vocabulary and the network's weights."""
-    known = vocabulary(docs, text)
+def _unblob(raw: bytes, size: int) -> np.ndarray:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    both = np.ascontiguousarray(np.frombuffer(pa.decompress(raw[8:], 16 * n, "zstd", asbytes=True), np.uint8).reshape(8, 2 * n).T).view("<u8").reshape(2, n).astype(np.int64)
+    out = np.zeros(size, np.int64)
+    out[np.cumsum(both[0])] = both[1]
+    return out
+
+
+def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text") -> np.ndarray:
+    """[d, a, b]: how often unit b stands d + 1 places after unit a; unit 0 is the edge of a document.
+
+    Tasks add up their own pairs; PARTS parts of the table are added up apart."""
+    units = known.size
+    cells = SIDE * units * units
+    width = -(-cells // PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, table = _Codes(known), np.zeros((SIDE, units * units), np.int64)
+        for batch in batches:
+            for _, found, _ in _codes(batch, 0, codes):
+                ids = known.units[found].astype(np.int64)
+                for d in range(1, SIDE + 1):
+                    table[d - 1] += np.bincount(ids[:-d] * units + ids[d:], minlength=units * units)
+        table.reshape(SIDE, units, units)[:, 0, 0] = 0  # two edges are no pair
+        flat = table.ravel()
+        parts = [k for k in range(PARTS) if flat[k * width : (k + 1) * width].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([_blob(flat[k * width : (k + 1) * width]) for k in parts], pa.binary())], ["part", "raw"])
+        release()
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.int64)
+        for raw in rows["raw"]:
+            total += _unblob(raw.as_py(), width)
+        return pa.table({"part": rows["part"][:1], "raw": pa.array([_blob(total)], pa.binary())})
+
+    table = np.zeros(PARTS * width, np.int64)
+    for r in docs.select(F.col(text)).mapInArrow(run, "part long, raw binary").groupBy("part").applyInArrow(add, "part long, raw binary").collect():  # PARTS rows
+        table[r["part"] * width : (r["part"] + 1) * width] = _unblob(bytes(r["raw"]), width)
+    return table[:cells].reshape(SIDE, units, units)
+
+
+class Network:
+    """Weights of both softmaxes for each place, without gains: [place, unit, class] and [place, unit, class, member]."""
+
+    def __init__(self, pairs: np.ndarray):
+        units = pairs.shape[1]
+        side = self.side = int(round(np.sqrt(units)))
+        own = pairs[0].sum(0).astype(float)
+        own[0] = 0  # an edge is no word
+        classes = np.maximum(own.reshape(side, side).sum(1), 1e-3)
+        self.log_class = np.log(classes / classes.sum()).astype(np.float32)
+        members = np.maximum(own.reshape(side, side), 1e-3 / side)
+        members = members / members.sum(1, keepdims=True)
+        self.log_member = np.log(members).astype(np.float32)
+        share = classes / classes.sum()
+        self.to_class = np.empty((len(_AROUND), units, side), np.float32)
+        self.to_member = np.empty((len(_AROUND), units, side, side), np.float32)
+        for k, place in enumerate(_AROUND):
+            counts = pairs[_DISTANCE[k]] if place < 0 else pairs[_DISTANCE[k]].T
+            counts = counts.astype(float)
+            counts[:, 0] = 0
+            cells = counts.reshape(units, side, side)
+            sums = cells.sum(2)
+            self.to_class[k] = np.log((sums / share + SHRINK) / (sums.sum(1, keepdims=True) + SHRINK))
+            self.to_member[k] = np.log((cells / members + SHRINK) / (sums[:, :, None] + SHRINK))
+
+    def scaled(self, gains: np.ndarray) -> Network:
+        """The same network with the gains [softmax, distance] in its weights."""
+        out = object.__new__(Network)
+        out.side, out.log_class, out.log_member = self.side, self.log_class, self.log_member
+        by_place = np.asarray(gains, np.float32)[:, _DISTANCE]
+        out.to_class = self.to_class * by_place[0][:, None, None]
+        out.to_member = self.to_member * by_place[1][:, None, None, None]
+        return out
+
+    def forward(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the target units in their windows [row, place]."""
+        side, rows = self.side, np.arange(len(target))
+        cls, member = target // side, target % side
+        out = np.zeros(len(target))
+        first, second = self.log_class + np.zeros((len(target), 1), np.float32), self.log_member[cls]
+        for k in range(context.shape[1]):
+            first += self.to_class[k][context[:, k]]
+            second += self.to_member[k][context[:, k], cls]
+        for z, own in ((first, cls), (second, member)):
+            z -= z.max(1, keepdims=True)
+            score = z[rows, own]
+            out += score - np.log(np.exp(z, out=z).sum(1))
+        return out
+
+    def slopes(self, context: np.ndarray, target: np.ndarray, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The gradient [softmax, distance] and the curvature [softmax, distance, distance] of the sum of forward()."""
+        side, rows = self.side, np.arange(len(target))
+        cls, member = target // side, target % side
+        slope, bend = np.zeros((2, SIDE)), np.zeros((2, SIDE, SIDE))
+        for s, (base, own) in enumerate(((self.log_class + np.zeros((len(target), 1), np.float32), cls), (self.log_member[cls], member))):
+            x = [np.zeros_like(base) for _ in range(SIDE)]
+            for k in range(context.shape[1]):
+                x[_DISTANCE[k]] += self.to_class[k][context[:, k]] if s == 0 else self.to_member[k][context[:, k], cls]
+            z = base + sum(np.float32(g) * v for g, v in zip(gains[s], x, strict=True))
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            mean = [(p * v).sum(1, dtype=float) for v in x]
+            for i in range(SIDE):
+                slope[s, i] = (x[i][rows, own] - mean[i]).sum()
+                for j in range(i + 1):
+                    bend[s, i, j] = bend[s, j, i] = ((p * x[i] * x[j]).sum(1, dtype=float) - mean[i] * mean[j]).sum()
+        return slope, bend
+
+
+class Model(NamedTuple):
+    """unseen: (document, n_unseen, change) of the documents with words that occur nowhere else, and what those words change
+    in the documents' sums; None if only other documents are scored."""
+
+    words: Vocabulary
+    pairs: bytes
+    gains: np.ndarray
+    unseen: DataFrame | None
+
+    def network(self) -> Network:
+        units = self.words.size
+        return Network(_unblob(self.pairs, SIDE * units * units).reshape(SIDE, units, units)).scaled(self.gains)
+
+
+def _gains(docs: DataFrame, known: Vocabulary, pairs: bytes, text: str) -> np.ndarray:
+    """The gains after a Newton step over all words, to two decimals: sums in another order give the same."""
+    units = known.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, weights, words = _Codes(known), _start(classes=known.classes, width=known.width), 0
-        squares = [np.full(w.shape, 1e-6, np.float32) for w in weights]
+        codes, net = _Codes(known), Network(_unblob(pairs, SIDE * units * units).reshape(SIDE, units, units))
+        gains = np.tile(GAINS, (2, 1))
+        slope, bend = np.zeros((2, SIDE)), np.zeros((2, SIDE, SIDE))
         for batch in batches:
             for _, found, sizes in _codes(batch, 0, codes):
-                ids = known.ids[found]
-                places = _places(sizes)
-                for at in range(0, len(places), BATCH):
-                    own = places[at : at + BATCH]
-                    _, gradients = _forward(weights, ids[own[:, None] + _AROUND], ids[own], True)
-                    for w, s, g in zip(weights, squares, gradients, strict=True):
-                        s += g * g
-                        w -= rate * g / np.sqrt(s)
-                words += len(places)
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array([words]), pa.array([_pack(weights)], pa.binary())], ["n", "raw"])
-
-    found, _ = materialize(docs.select(F.col(text)).mapInArrow(run, "n long, raw binary"), "weights")
-
-    def average(rows: pa.Table) -> pa.Table:
-        total, words = 0, 0
-        for n, raw in zip(rows["n"], rows["raw"], strict=True):
-            total = total + np.frombuffer(raw.as_py(), np.float32) * np.float64(n.as_py())
-            words += n.as_py()
-        return pa.table({"n": pa.array([words]), "raw": pa.array([(total / words).astype(np.float32).tobytes()], pa.binary())})
-
-    rows = found.count()
-    while rows > 1:
-        groups = -(-rows // FAN)
-        found = found.withColumn("g", F.pmod(F.xxhash64("raw"), F.lit(groups))).groupBy("g").applyInArrow(average, "n long, raw binary")
-        rows = groups if groups > 1 else 1
-    first = found.agg(F.max(F.struct("n", "raw")).alias("r")).first()["r"]
-    return known, _unpack(first["raw"], known.classes, known.width) if first else _start(classes=known.classes, width=known.width)
-
-
-def score(docs: DataFrame, model: tuple[Vocabulary, list[np.ndarray]], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_words, log_likelihood (the sum over all words) and mean_log_likelihood (null without words) of each row.
-
-    Null and empty texts have no words and a sum of 0.  Repeated rows are scored one by one, alike."""
-    known, weights = model
-    raw = _pack(weights)
+                ids, places = known.units[found], _places(sizes)
+                for at in range(0, len(places), STEP):
+                    own = places[at : at + STEP]
+                    s, b = net.slopes(ids[own[:, None] + _AROUND], ids[own], gains)
+                    slope, bend = slope + s, bend + b
+        yield pa.RecordBatch.from_arrays([pa.array([[*slope.ravel(), *bend.ravel()]], pa.list_(pa.float64()))], ["sums"])
+        release()
+
+    size = 2 * SIDE + 2 * SIDE * SIDE
+    sums = docs.select(F.col(text)).mapInArrow(run, "sums array<double>").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(size)]).first()
+    flat = np.array([v or 0.0 for v in sums])
+    slope, bend = flat[: 2 * SIDE].reshape(2, SIDE), flat[2 * SIDE :].reshape(2, SIDE, SIDE)
+    step = np.stack([np.linalg.solve(b + 1e-3 * np.eye(SIDE) * (1 + np.trace(b)), s) for s, b in zip(slope, bend, strict=True)])
+    return np.round(np.clip(np.array(GAINS) + step, 0, 1.5), 2)
+
+
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
+    """The vocabulary, the network and the words that occur once, from all rows of docs.
+
+    Null and empty texts have no words.  Repeated rows count as often as they are there, so their words occur elsewhere.  An
+    empty table gives a model in which all units are alike.  The driver sees the listed words and the table of pairs, both of
+    which grow with the corpus more slowly than its root."""
+    counts, counts_at = materialize(word_counts(docs, text, doc_id), "counts")
+    known = vocabulary(counts)
+    change = F.get(F.lit([float(x) for x in known.alone - known.shares[-known.shared :]]), F.pmod("h", F.lit(known.shared)).cast("int")) + (F.col("size") + 1) * F.lit(_SPELL)
+    unseen = counts.where("n = 1").groupBy("document").agg(F.count("*").alias("n_unseen"), F.sum(change.cast("decimal(20,6)")).cast("double").alias("change"))
+    unseen, _ = materialize(unseen, "unseen")
+    drop(docs.sparkSession, counts_at)
+    pairs = _blob(pair_counts(docs, known, text).ravel())
+    return Model(known, pairs, _gains(docs, known, pairs, text), unseen)
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_words, n_unseen, log_likelihood (the sum over all words) and mean_log_likelihood (null without words) of each
+    row.  n_unseen: words that occur nowhere else in the documents that the model was trained on.
+
+    Null and empty texts have no words and a sum of 0.  Repeated rows are scored one by one, alike.  An empty table gives no
+    rows.  Other columns are not read."""
+    known = model.words
+    shell = model._replace(unseen=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, net = _Codes(known), _unpack(raw, known.classes, known.width)
+        codes, net = _Codes(known), shell.network()
         for batch in batches:
-            for first, found, sizes in _codes(batch, 1, codes):
-                ids, shares = known.ids[found], known.shares[found]
-                places = _places(sizes)
-                logs = [_forward(net, ids[own[:, None] + _AROUND], ids[own], False)[0] + shares[own] for own in (places[at : at + SCORED] for at in range(0, len(places), SCORED))]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate([*logs, np.zeros(0)]))])
-                ends = np.cumsum(sizes)
-                total = sums[ends] - sums[ends - sizes]
-                mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), pa.array(sizes.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
-
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+            for first, found, sizes in _codes(batch, 2, codes):
+                ids, shares, places = known.units[found], known.shares[found], _places(sizes)
+                logs = [net.forward(ids[own[:, None] + _AROUND], ids[own]) + shares[own] for own in (places[at : at + STEP] for at in range(0, len(places), STEP))]
+                flat = np.concatenate([*logs, np.zeros(1)])
+                some = np.flatnonzero(sizes)
+                total = np.zeros(len(sizes))
+                total[some] = np.add.reduceat(flat, (np.cumsum(sizes) - sizes)[some])
+                rows = batch.slice(first, len(sizes))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes.astype(np.int64)), pa.array(total)], ["doc_id", "key", "n_words", "total"])
+        release()
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("total", T.DoubleType())])
+    out = docs.select(F.col(doc_id).alias("doc_id"), _document(doc_id, text).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    if model.unseen is not None:
+        out = out.join(model.unseen, F.col("key") == F.col("document"), "left")
+    else:
+        out = out.withColumns({"n_unseen": F.lit(0), "change": F.lit(0.0)})
+    total = F.round(F.col("total") + F.coalesce("change", F.lit(0.0)), 4)
+    return out.select("doc_id", "n_words", F.coalesce("n_unseen", F.lit(0)).cast("long").alias("n_unseen"), total.alias("log_likelihood"), (total / F.when(F.col("n_words") > 0, F.col("n_words"))).alias("mean_log_likelihood"))

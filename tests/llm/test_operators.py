@@ -370,50 +370,150 @@ def test_language_id(spark):
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"} and langid.identify(docs.limit(0), model).count() == 0
 
 
-def test_language_model(spark):
-    rng = random.Random(7)
-    good = [" ".join(f"a{(k + i) % 20}" for i in range(200)) for k in range(150)]
-    noise = [" ".join(f"a{rng.randrange(20)}" for _ in range(200)) for _ in range(10)]
-    docs = spark.createDataFrame([*enumerate(good + noise), (900, None), (901, ""), (5, good[5])], "doc_id long, text string").repartition(3)
+def lm_corpus(rng, n, words=400):
+    """Two languages of words with Zipf's counts, in documents of one language, and some rare words."""
+    rows = []
+    for k in range(n):
+        own = [f"{'ab'[k % 2]}{min(int(rng.paretovariate(0.9)), words)}" for _ in range(rng.randint(20, 90))]
+        own[5] = f"rare{k}"
+        rows.append(" ".join(own))
+    return rows
+
+
+def brute_scores(texts):
+    """Each text's score, word by word, from counts of all texts."""
+    import math
+
+    import xxhash
+
+    h = lambda w: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(w))
+    docs = [(t or "").encode().split() for t in texts]
+    counts = {}
+    for w in (w for d in docs for w in d):
+        counts[w] = counts.get(w, 0) + 1
+    side, top = 32, 767
+    listed = sorted((w for w in counts if counts[w] > 1), key=lambda w: (-counts[w], h(w)))
+    root = sum(counts.values()) ** 0.5
+    many = [w for w in listed if counts[w] >= max(2.0, root / lm.LISTED)]
+    listed = many if len(many) >= top else listed[:top]
+    unit = {w: i + 1 for i, w in enumerate(listed[:top])}
+    unit.update({w: top + 1 + h(w) % (1024 - top - 1) for w in counts if w not in unit})
+    total, rest, kinds, once = ({u: 0 for u in range(1024)} for _ in range(4))
+    for w, n in counts.items():
+        if unit[w] > top:
+            total[unit[w]] += n
+            if n == 1:
+                once[unit[w]] += 1
+            elif w not in listed:
+                rest[unit[w]] += n
+                kinds[unit[w]] += 1
+    lines = [[0, 0, *[unit[w] for w in d], 0, 0] for d in docs]
+    pairs = {}
+    own = [0] * 1024
+    for line in lines:
+        for i, u in enumerate(line):
+            own[u] += u > 0
+            for d in (1, 2):
+                for j in (i - d, i + d):
+                    if 0 <= j < len(line) and u:
+                        key = (d, j < i, line[j], u)
+                        pairs[key] = pairs.get(key, 0) + 1
+    classes = [max(sum(own[c * side : (c + 1) * side]), 1e-3) for c in range(side)]
+    members = [max(own[u], 1e-3 / side) for u in range(1024)]
+    member = [members[u] / sum(members[u // side * side : u // side * side + side]) for u in range(1024)]
+    p_class = [c / sum(classes) for c in classes]
+
+    def logits(line, i, gains, softmax, c=None):
+        out = []
+        for k in range(side):
+            z = math.log(p_class[k] if softmax == 0 else member[c * side + k])
+            for place in (-2, -1, 1, 2):
+                d, x = abs(place), line[i + place]
+                count = lambda u: pairs.get((d, place < 0, x, u), 0)  # noqa: B023, E731
+                if softmax == 0:
+                    whole = sum(count(u) for u in range(1024))
+                    z += gains[0][d - 1] * math.log((sum(count(k * side + m) for m in range(side)) / p_class[k] + lm.SHRINK) / (whole + lm.SHRINK))
+                else:
+                    whole = sum(count(c * side + m) for m in range(side))
+                    z += gains[1][d - 1] * math.log((count(c * side + k) / member[c * side + k] + lm.SHRINK) / (whole + lm.SHRINK))
+            out.append(z)
+        return out
+
+    def score(k, gains):
+        total_, line = 0.0, lines[k]
+        for i, w in enumerate(docs[k], 2):
+            c, m = divmod(unit[w], side)
+            for z, at in ((logits(line, i, gains, 0), c), (logits(line, i, gains, 1, c), m)):
+                total_ += z[at] - math.log(sum(map(math.exp, z)))
+            if unit[w] > top:
+                u = unit[w]
+                if counts[w] == 1:
+                    total_ += math.log(once[u] / total[u]) - (len(w) + 1) * math.log(257)
+                elif w in listed:
+                    total_ += math.log(counts[w] / total[u])
+                else:
+                    total_ += math.log(rest[u] / kinds[u] / total[u])
+        return total_
+
+    return score, [sum(counts[w] == 1 for w in d) for d in docs]
+
+
+def test_language_model_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = lm_corpus(rng, 60, 1500) + [None, "", " \n ", "word", "long " * 3000]
+    texts.append(texts[3])
+    for i in range(900):  # more words than own units
+        texts.append(f"x{i} x{i}")
+    rows = [(i, t, "n", 1) for i, t in enumerate(texts)] + [(None, texts[4], "n", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, total int").repartition(3)
     model = lm.train(docs)
     got = {r.doc_id: r for r in lm.score(docs, model).collect()}
-    mean = lambda ids: np.mean([got[i].mean_log_likelihood for i in ids])
-    assert mean(range(150)) > mean(range(150, 160)) + 0.5
-    assert got[900].n_words == 0 and got[901].log_likelihood == 0 and got[901].mean_log_likelihood is None
+    score, unseen = brute_scores([t for _, t, *_ in rows])
+    for i in (0, 60, 61, 63, 70):
+        assert got[i].log_likelihood == pytest.approx(score(i, model.gains), abs=2e-3), i
+    assert all(got[i].n_unseen == unseen[k] and got[i].n_words == len((t or "").split()) for k, (i, t, *_) in enumerate(rows))
+    assert got[None].log_likelihood == got[4].log_likelihood and got[61].log_likelihood == 0 and got[61].mean_log_likelihood is None
+    again = docs.repartition(16)
+    other = lm.train(again)
+    assert (other.gains == model.gains).all() and other.pairs == model.pairs and other.words.top == model.words.top
+    assert all(abs(r.log_likelihood - got[r.doc_id].log_likelihood) < 1e-3 for r in lm.score(again, other).collect())
     assert lm.score(docs.limit(0), lm.train(docs.limit(0))).count() == 0
 
 
-def test_language_model_vocabulary_follows_the_corpus(spark):
-    words = [f"w{i}" for i in range(4000) for _ in range(100 if i < 1200 else 1 + i % 10)]
-    random.Random(8).shuffle(words)
-    docs = spark.createDataFrame(list(enumerate(" ".join(words[i : i + 100]) for i in range(0, len(words), 100))), "doc_id long, text string").repartition(3)
-    known, _ = model = lm.train(docs)
-    assert known.top == 1200 and known.classes * known.width >= 1600
-    # all words of the corpus in one context: their probabilities add up to 1
-    one = spark.createDataFrame([(i, f"w0 w1 w{i} w2 w3") for i in range(4000)], "doc_id long, text string")
-    codes, (_, weights) = lm._Codes(known), model
-    found = np.array([codes[f"w{i}".encode()] for i in range(4000)])
-    context = np.tile(known.ids[[codes[w] for w in (b"w0", b"w1", b"w2", b"w3")]], (4000, 1))
-    logs = lm._forward(weights, context, known.ids[found], False)[0] + known.shares[found]
-    used = np.unique(known.ids[found])
-    mass = np.exp(lm._forward(weights, context[: len(used)], used, False)[0]).sum()
-    assert abs(np.exp(logs).sum() - mass) < 1e-4 and mass <= 1.0001
-    assert np.isfinite([r.log_likelihood for r in lm.score(one, model).collect()]).all()
-
-
-def test_language_model_gradients():
+def test_language_model_beats_word_counts_on_held_out_text(spark):
+    rng = random.Random(12)
+    seen, held = lm_corpus(rng, 400), lm_corpus(rng, 60)
+    docs = spark.createDataFrame(list(enumerate(seen)), "doc_id long, text string")
+    new = spark.createDataFrame(list(enumerate(held)), "doc_id long, text string")
+    for n in (1, 16):
+        model = lm.train(docs.repartition(n))
+        sums = lambda m: sum(r.log_likelihood for r in lm.score(new, m._replace(unseen=None)).collect())
+        words = sum(len(t.split()) for t in held)
+        assert sums(model) / words > sums(model._replace(gains=np.zeros((2, 2)))) / words + 0.3
+
+
+def test_language_model_tells_copies_apart(spark):
+    rng = random.Random(13)
+    texts = lm_corpus(rng, 200)
+    docs = spark.createDataFrame([*enumerate(texts), *((500 + i, texts[i]) for i in range(20))], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(docs, lm.train(docs)).collect()}
+    twice = [got[i].mean_log_likelihood for i in (*range(20), *range(500, 520))]
+    alone = sorted(got[i].mean_log_likelihood for i in range(20, 200))
+    assert sum(x > alone[162] for x in twice) >= 36 and all(got[i].n_unseen == 0 for i in range(20)) and all(got[i].n_unseen for i in range(20, 200))
+
+
+def test_language_model_slopes():
     rng = np.random.default_rng(0)
-    weights = [w.astype(np.float64) + rng.normal(size=w.shape) * 0.1 for w in lm._start()]
-    context, target = rng.integers(0, lm.VOCABULARY, (40, 4)), rng.integers(0, lm.VOCABULARY, 40)
-    _, gradients = lm._forward(weights, context, target, True)
-    for w, g in zip(weights, gradients, strict=True):
-        at = np.unravel_index(int(np.abs(g).argmax()), g.shape)
-        w[at] += 1e-5
-        up = -lm._forward(weights, context, target, False)[0].mean()
-        w[at] -= 2e-5
-        down = -lm._forward(weights, context, target, False)[0].mean()
-        w[at] += 1e-5
-        assert abs((up - down) / 2e-5 - g[at]) < 1e-4
+    pairs = rng.poisson(0.3, (2, 64, 64))
+    net, gains = lm.Network(pairs), np.array([[0.5, 0.3], [0.4, 0.2]])
+    context, target = rng.integers(0, 64, (50, 4)), rng.integers(1, 64, 50)
+    slope, bend = net.slopes(context, target, gains)
+    for s, d in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        up, down = gains.copy(), gains.copy()
+        up[s, d] += 1e-2
+        down[s, d] -= 1e-2
+        f = [net.scaled(g).forward(context, target).sum() for g in (up, gains, down)]
+        assert (f[0] - f[2]) / 2e-2 == pytest.approx(slope[s, d], abs=0.05) and -(f[0] - 2 * f[1] + f[2]) / 1e-4 == pytest.approx(bend[s, d, d], rel=0.2, abs=1)
 
 
 @pytest.mark.parametrize("top", [300, 50257, 200_000])
