@@ -34,12 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no table has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes df once as Parquet in the shared folder and returns it reread, with its path.
 
     This cuts the lineage: a lost executor costs no earlier stage, and nothing is computed twice."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -120,23 +125,35 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(roots[other])], ["u", "v"])
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """left and right joined by key (no nulls); right has one row for each key, with n, how many rows of left have it.
+
+    Keys of a thousandth of these rows or more are a thousand at most: their rows of right are broadcast, so no task gets
+    all rows of such a key.  The others meet by shuffle."""
+    total = right.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(right.where(F.col("n") * 1000 >= total).drop("n"))
+    rest = right.where(F.col("n") * 1000 < total).drop("n")
+    return left.join(hot, key).unionByName(left.join(hot.select(*key), key, "left_anti").join(rest, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (u, v), both long; root: the smallest node of its component.
 
     Large-star and small-star rounds (Kiveris et al. 2014) until a round changes nothing.  Each round is written to the
-    shared folder.  Minima are aggregated before they are joined, so a node with very many edges is no single task."""
+    shared folder.  A node with very many edges is no single task: minima are aggregated before they are joined, and the
+    minima of such nodes are broadcast."""
     spark = edges.sparkSession
     edges = edges.where("u <> v").mapInArrow(_contract, "u long, v long").distinct()
     edges, path = materialize(edges, "edges")
     before = _mark(edges)
     while before[0]:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
+        large, large_at = materialize(spread_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after, new = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        drop(spark, path)
+        drop(spark, path, large_at)
         edges, path = after, new
         if (mark := _mark(edges)) == before:
             break

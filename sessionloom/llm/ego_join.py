@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop, find_roots, materialize
+from .common import components, drop, find_roots, materialize, spread_join
 
 #: Dimensions of the grid, vectors of a block, children of an interval, vectors compared at once.
 DIMENSIONS, BLOCK, FAN, BASE = 6, 1024, 8, 256
@@ -27,6 +27,8 @@ FIT_ROWS = 10_000
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
+    """Rows made length 1.  The largest component comes to 1 first, so that no square is too large or too small."""
+    raw = raw / np.abs(raw).max(1, keepdims=True)
     return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
 
 
@@ -136,7 +138,9 @@ def _join(a: _Side, b: _Side, cosine: float, epsilon: float) -> tuple[np.ndarray
 
 
 def links(vectors: DataFrame, cosine: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """For distinct vectors (node, embedding, weight, length): linked weights (node, n), and edges (u, v)."""
+    """For distinct vectors (node, embedding, weight, length): linked weights (node, n), and edges (u, v).
+
+    Nodes are distinct and not null, vectors of finite components that aren't all 0.  An empty table gives none of both."""
     epsilon = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
     single = "float" in vectors.schema["embedding"].dataType.simpleString()
     axes = _axes(vectors)
@@ -198,12 +202,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, embedding: str = "
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     rows = rows.withColumn("ok", F.coalesce(e.isNotNull() & finite & F.exists(e, lambda x: x != 0), F.lit(False)))
     classes = rows.where("ok").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
-    classes, _ = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "embedding", "weight", F.size("embedding").alias("length"), "least"), "vectors")
+    classes, classes_at = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "embedding", "weight", F.size("embedding").alias("length"), "least"), "vectors")
     counts, edges = links(classes.select("node", "embedding", "weight", "length"), cosine)
     nodes = components(edges).withColumnRenamed("node", "m")
-    own = classes.join(counts, "node", "left").join(nodes, F.col("node") == F.col("m"), "left").select("embedding", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
-    lowest = own.groupBy("root").agg(F.min("least").alias("component"))
-    own = own.join(lowest, "root").select(F.col("embedding").alias("key"), "n", "component")
-    out = rows.join(own, rows.ok & (rows.embedding == own.key), "left")
+    own = classes.join(counts, "node", "left").join(nodes, F.col("node") == F.col("m"), "left").select("embedding", "least", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    own, _ = materialize(own, "labelled")
+    drop(vectors.sparkSession, classes_at)
+    lowest = own.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+    own = spread_join(own, lowest, ["root"]).select(F.col("embedding").alias("key"), "n_links", "component", F.col("weight").alias("n"))
+    known = spread_join(rows.where("ok").withColumnRenamed("embedding", "key"), own, ["key"]).select("vec_id", "ok", "n_links", "component")
+    out = known.unionByName(rows.where("not ok").select("vec_id", "ok", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component")))
     component = F.when(F.col("ok"), F.col("component")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

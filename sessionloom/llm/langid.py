@@ -31,7 +31,6 @@ FAMILIES = {
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 #: Labelled documents per language that the fit uses, about; and hashed n-gram features.
 FIT_PER_LANG, FEATURES = 500, 1 << 12
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def features(text: str) -> np.ndarray:
@@ -125,7 +124,7 @@ def remainder(doc_id: Column) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_lang: int = FIT_PER_LANG, seed: int = 11) -> Model:
     """A model from about per_lang documents of each language, those with the smallest hashes of their ids.
 
-    Only rows with a language and a remainder other than 0 are used.  Each language's share of rows to take follows from its
+    Only rows with a text, a language and a remainder other than 0 are used; none of them gives a model without languages.  Each language's share of rows to take follows from its
     count, so the sample is bounded whatever the size of the table, and no task gathers a language."""
     rows = docs.where(F.col(lang).isNotNull() & (remainder(F.col(doc_id)) != 0) & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}  # one row per language
@@ -149,7 +148,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row, from its whole text alone.
 
-    Texts that are null, or have no letter, are `und` with score 0; so is everything if no language was learned.  held_out is
+    Texts that are null, or have no letter (a character of which str.isalpha() holds), are `und` with score 0; so is everything if no language was learned.  held_out is
     null for a null id.  Repeated rows are predicted one by one, alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +156,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "d
             out = []
             for body in text_bytes(batch.column(2)):
                 wide = (body or b"").decode("utf-8", "replace")
-                out.append(model.predict(features(wide)) if model.langs and _LETTER.search(wide) else ("und", 0.0))
+                out.append(model.predict(features(wide)) if model.langs and any(map(str.isalpha, wide)) else ("und", 0.0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -123,15 +123,18 @@ def mix(docs: DataFrame, schedule: Callable[[int], Schedule] = curriculum, share
     return placed.select("doc_id", "h", "source", "size", "source_size", "target", taken.alias("taken"), F.get("at", F.lit(0)).alias("position"), passes.alias("passes"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 17, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mix itself: a row of docs, with all columns, for each time that a document is taken, sorted by training position.
 
-    A document that the end of its source's target cuts is given whole.  Documents that the mix doesn't take go."""
-    placed = mix(docs, seed=seed, text=text, doc_id=doc_id, **options).select("doc_id", "h", "passes")
-    nth = Window.partitionBy("doc_id", "h").orderBy(F.lit(0))  # tells repeated rows apart, nothing else
-    placed = placed.withColumn("nth", F.row_number().over(nth)).where(F.size("passes") > 0)
-    placed = placed.select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), F.col("nth").alias("p_nth"), F.explode("passes.position").alias("at"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("h"))
-    rows = rows.withColumn("nth", F.row_number().over(nth))
-    rows = rows.join(placed, rows.doc_id.eqNullSafe(placed.p_id) & (rows.h == placed.p_h) & (rows.nth == placed.p_nth))
+    A document that the end of its source's target cuts is given whole.  Documents that the mix doesn't take go.  Rows of one
+    source, id and text are told apart by a hash of all their columns; those that are equal in all are interchangeable.  Null
+    texts and texts without words are never taken; an empty table gives no rows."""
+    placed = mix(docs, seed=seed, text=text, source=source, doc_id=doc_id, **options).where(F.size("passes") > 0)
+    keys = ["doc_id", "source", "h"]
+    order = Window.partitionBy(*keys)
+    placed = placed.select(*keys, "passes").withColumn("nth", F.row_number().over(order.orderBy(F.col("passes")[0]["position"])))
+    placed = placed.select(*[F.col(k).alias(f"p_{k}") for k in keys], F.col("nth").alias("p_nth"), F.explode("passes.position").alias("at"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("h"))
+    rows = rows.withColumn("nth", F.row_number().over(order.orderBy(F.xxhash64("doc"))))
+    rows = rows.join(placed, rows.doc_id.eqNullSafe(placed.p_doc_id) & rows.source.eqNullSafe(placed.p_source) & (rows.h == placed.p_h) & (rows.nth == placed.p_nth))
     return rows.repartitionByRange("at", "h").sortWithinPartitions("at", "h").select("doc.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ego_join, langid, lm, mixing, quality, rindex, sentencepiece_scan, sharding, simhash, token_coder
-from .common import read_table
+from .common import new_folder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read_table(spark, sf_dir, "documents"))
+    return sharding.shard(read_table(spark, sf_dir, "documents"), new_folder(spark, "shards"))
 
 
 def op4_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = token_coder.ids_folder(spark, "ids")
+    folder = new_folder(spark, "ids")
     token_coder.write_ids(read_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_coder.read_ids(spark, folder)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, find_roots, materialize, release, text_bytes
+from .common import components, drop, find_roots, materialize, release, spread_join, text_bytes
 
 SEED = 42
 #: Fingerprints of one segment value that are compared with as many others at once.
@@ -343,13 +343,15 @@ def _labelled(docs: DataFrame, words: int, bits: int, segment: int, distance: in
     exact = similarity is not None
     keys = ["fp", "shingles"] if exact else ["fp"]
     rows, _ = materialize(fingerprints(docs, words, bits, text, doc_id, exact), "fingerprints")
-    groups = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), *([F.min("text_hash").alias("text_hash")] if exact else []))
-    groups, _ = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    groups = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), *([F.min("text_hash").alias("text_hash")] if exact else []))
+    groups, groups_at = materialize(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
     nodes = _similar_components(docs, groups, segment, distance, words, similarity, text) if exact else components(links(groups, segment, distance))
-    nodes = nodes.withColumnRenamed("node", "n")
-    labelled = groups.join(nodes, groups.node == nodes.n, "left").select(*keys, "least", F.coalesce("root", "node").alias("root"))
-    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = rows.join(labelled.join(lowest, "root").select(*keys, "component_id", "root"), keys)
+    nodes = nodes.withColumnRenamed("node", "m")
+    labelled, _ = materialize(groups.join(nodes, groups.node == nodes.m, "left").select(*keys, "least", "n", F.coalesce("root", "node").alias("root")), "labelled")
+    drop(docs.sparkSession, groups_at)
+    lowest = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    found = spread_join(labelled.withColumnRenamed("n", "rows"), lowest, ["root"]).select(*keys, "component_id", "root", F.col("rows").alias("n"))
+    out = spread_join(rows, found, keys)
     return out.select("doc_id", "text_hash", F.lower(F.hex(_reversed("fp"))).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
 
 

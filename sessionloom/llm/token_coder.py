@@ -17,7 +17,6 @@ words.  All is little endian.  Segments are the rows of a Parquet table, in orde
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import release, shared_folder
+from .common import release
 
 #: Ids of a block at most, of a segment (about), and slots of a block's order-2 table.  A segment has 512 blocks at least, if
 #: that leaves them 256 ids: one step of numpy serves them all.
@@ -434,8 +433,3 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     out = rows.select("part", "segment", "raw").mapInArrow(run, "part long, segment long, doc_id long, offset long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
     out = out.join(starts, (F.col("part") == F.col("p")) & (F.col("segment") == F.col("s")))  # rows of documents, not segments
     return out.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
-
-
-def ids_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for write_ids() in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -144,23 +145,43 @@ def test_quality_trees(spark, docs):
 
 
 def test_sharding(docs, tmp_path):
-    got = sharding.shard(docs, shards=5, rows_per_bucket=8).collect()
+    got = sharding.shard(docs, f"file://{tmp_path}/a", shards=5, rows_per_bucket=8).collect()
     rows = docs.collect()
     assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, (r.doc_id for r in rows)))
     by_shard = {s: sorted(r.slot for r in got if r.shard == s) for s in range(5)}
     assert all(v == list(range(len(v))) for v in by_shard.values()) and max(map(len, by_shard.values())) - min(map(len, by_shard.values())) <= 1
     crc = {str(r.doc_id): (len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in rows}
     assert all((r.size, r.text_crc32) == crc[str(r.doc_id)] and r.law == "rows" for r in got)
-    again = sharding.shard(docs.repartition(7), shards=5, rows_per_bucket=8).collect()
+    again = sharding.shard(docs.repartition(7), f"file://{tmp_path}/b", shards=5, rows_per_bucket=8).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    out = sharding.write_shards(docs, f"file://{tmp_path}/shards", shards=3, rows_per_bucket=8)
+    out = sharding.write_shards(docs, f"file://{tmp_path}/c", shards=3, rows_per_bucket=8)
+    assert out.columns == [*docs.columns, "slot", "shard"] or out.columns == [*docs.columns, "shard", "slot"]
     assert sorted(map(str, (r.text for r in out.collect()))) == sorted(map(str, (r.text for r in rows))) and out.select("shard").distinct().count() == 3
-    assert sharding.shard(docs.limit(0)).count() == 0
+    assert sharding.shard(docs.limit(0), f"file://{tmp_path}/d").count() == 0
+    few = sharding.shard(docs.where("doc_id < 3"), f"file://{tmp_path}/e").collect()
+    assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumnRenamed("h", "slot"), f"file://{tmp_path}/f")
 
 
-def test_sharding_splits_a_hot_key(spark):
+def test_sharding_is_fisher_yates_by_bucket(docs, tmp_path):
+    """The permutation again: rows by bucket, in order of their keys, shuffled with the bucket's seed."""
+    from pyspark.sql import functions as F
+
+    own = docs.where("doc_id < 100").select("doc_id", "text")
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(own, f"file://{tmp_path}/g", shards=4, rows_per_bucket=16).collect()}
+    key = F.struct(F.col("doc_id").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"), F.octet_length("text").alias("c"))
+    rows = own.select("doc_id", F.pmod(F.xxhash64(F.lit(23), key), F.lit(4)).alias("bucket")).collect()
+    places = []
+    for b in range(4):
+        ids = sorted(r.doc_id for r in rows if r.bucket == b)
+        places += [ids[k] for k in sharding.fisher_yates(len(ids), 23, b)]
+    assert got == {i: (p // 15, p % 15) for p, i in enumerate(places)}
+
+
+def test_sharding_splits_a_hot_key(spark, tmp_path):
     same = spark.createDataFrame([(7, "t")] * 900 + [(i, "u") for i in range(100)], "doc_id long, text string")
-    got = sharding.shard(same, shards=4, rows_per_bucket=50).collect()
+    got = sharding.shard(same, f"file://{tmp_path}/h", shards=4, rows_per_bucket=50).collect()
     assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(4) for k in range(250)]
 
 
@@ -174,6 +195,7 @@ def brute_links(rows):
         for j in range(i):
             if ok[i] and ok[j] and len(rows[i][1]) == len(rows[j][1]):
                 a, b = np.array(rows[i][1], float), np.array(rows[j][1], float)
+                a, b = a / np.abs(a).max(), b / np.abs(b).max()
                 if a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= 0.95:
                     pairs.append((i, j))
                     count[i] += 1
@@ -196,8 +218,8 @@ def test_ego_join(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(4, 5))
     rows = [(i, [float(x) for x in np.float32(centres[i % 4] + rng.normal(size=5) * 0.2)]) for i in range(150)]
-    rows += [(200 + i, rows[5][1]) for i in range(10)] + [(-1, rows[7][1]), (300, None), (301, []), (302, [0.0] * 5), (303, [1.0, None, 0.0, 0.0, 0.0]), (304, [float("nan")] * 5), (305, [float("inf"), 1.0, 0.0, 0.0, 0.0]), (306, [1.0, 2.0]), (307, [2.0, 4.0]), (8, rows[8][1])]
-    frame = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, node string")
+    rows += [(200 + i, rows[5][1]) for i in range(10)] + [(-1, rows[7][1]), (300, None), (301, []), (302, [0.0] * 5), (303, [1.0, None, 0.0, 0.0, 0.0]), (304, [float("nan")] * 5), (305, [float("inf"), 1.0, 0.0, 0.0, 0.0]), (306, [1.0, 2.0]), (307, [2.0, 4.0]), (308, [1e200, 2e200]), (309, [1e-310, 2e-310]), (8, rows[8][1])]
+    frame = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, node string")
     got = ego_join.near_duplicates(frame).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute_links(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
@@ -359,17 +381,51 @@ def test_language_id(spark):
     rng = random.Random(6)
     vocabulary = {"en": "the of and to in is that for it was", "de": "der die und das ist nicht ein mit zu den", "fr": "le la les des une est dans que pour qui", "es": "el los las una es en que por con del", "xx": "ka ki ku kaka kiki"}
     rows = [(i, " ".join(rng.choice(vocabulary[lang].split()) for _ in range(30)), lang) for i, lang in enumerate(list(vocabulary) * 60)]
-    docs = spark.createDataFrame([*rows, (900, None, "en"), (901, " 12 .", "de"), (902, "", None), (None, "the of and", "en"), (903, "der die und das ist", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([*rows, (900, None, "en"), (901, " 12 .", "de"), (902, "", None), (None, "the of and", "en"), (903, "der die und das ist", None), (904, "\u00bd \u2461 \u2167", "en"), (905, "der die und das ist nicht " * 5000, None)], "doc_id long, text string, lang string")
     model = langid.train(docs)
     got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
     for i, _, lang in rows:
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= got[i].score <= 1
         assert got[i].lang_pred == lang
-    assert [got[i].lang_pred for i in (900, 901, 902, 903)] == ["und", "und", "und", "de"]
+    assert [got[i].lang_pred for i in (900, 901, 902, 903, 904, 905)] == ["und", "und", "und", "de", "und", "de"]
+    for i in (0, 1, 2, 3, 903):  # the prediction again: features, families and votes one by one
+        text = next(t for j, t, _ in [*rows, (903, "der die und das ist", None)] if j == i)
+        data, counts = (" " + text.lower() + " ").encode(), {}
+        for n in (1, 2, 3, 4):
+            for at in range(len(data) - n + 1):
+                code = 0
+                for c in data[at : at + n]:
+                    code = (code * 257 + c) % (1 << 32)
+                k = ((code + n) * 2654435761 % (1 << 32)) >> 20
+                counts[k] = counts.get(k, 0) + 1
+        norm = sum(counts.values()) ** 0.5
+        x = {k: v**0.5 / norm for k, v in counts.items()}
+        z = [sum(v * model.family[k, f] for k, v in x.items()) for f in range(len(model.families))]
+        members = model.members[z.index(max(z))]
+        votes = {m: [0, 0.0] for m in members}
+        for (a, b), w in model.pairs.items():
+            if a in votes:
+                margin = sum(v * w[k] for k, v in x.items())
+                votes[a if margin >= 0 else b][0] += 1
+                votes[a][1] += margin
+                votes[b][1] -= margin
+        assert got[i].lang_pred == max(members, key=lambda m: votes[m])
+    clash = docs.selectExpr("doc_id", "text", "lang", "1 as held_out", "'x' as x", "lang as lang_pred")
+    assert sorted(map(str, langid.identify(clash, langid.train(clash)).collect())) == sorted(map(str, got.values()))
     empty = langid.train(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"} and langid.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_id_on_held_out_documents(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no documents")
+    docs = spark.read.parquet(path)
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in langid.identify(docs, langid.train(docs)).collect() if r.held_out and r.lang_pred != "und"]
+    assert len(held) > 20 and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
 def lm_corpus(rng, n, words=400):
     """Two languages of words with Zipf's counts, in documents of one language, and some rare words."""
     rows = []
