@@ -263,34 +263,29 @@ def links(distinct: DataFrame, segment: int, distance: int, both: bool = False)
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, words: int, text: str) -> DataFrame:
-    """(node, shingles): the distinct shingles' hashes, sorted, of the nodes (node, text_hash), from one of each one's texts."""
+    """(node, shingles, size): the distinct shingles' hashes of the nodes (node, text_hash), from one of each one's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([np.unique(shingles(t, words)).tobytes() for t in text_bytes(batch.column(1))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["node", "shingles"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(shingles(t, words)).view(np.int64) for t in text_bytes(part.column(1))]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends))], ["node", "shingles", "size"])
+        release()
 
     rows = docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(nodes, "text_hash")
-    return rows.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles binary")
+    return rows.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles array<long>, size int")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets of shingles have that Jaccard similarity at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    rows = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    return rows.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    """Those of the pairs (u, v) whose sets of shingles have that Jaccard similarity at least.  Sizes alone decide first."""
+    sizes = sets.select("node", "size")
+    near = pairs.join(sizes.toDF("u", "m"), "u").join(sizes.toDF("v", "n"), "v").where(F.least("m", "n") >= similarity * F.greatest("m", "n"))
+    rows = near.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    both = F.size(F.array_intersect("a", "b"))
+    return rows.where(both >= similarity * (F.col("m") + F.col("n") - both)).select("u", "v")
 
 
 #: Rounds in which a document is compared with its nearest one of other labels only, before all of them are.
