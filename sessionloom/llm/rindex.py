@@ -3,18 +3,20 @@
 A byte goes if it lies in a string of MATCH bytes that also starts in a document with a smaller id.
 
 1. Each window of MATCH bytes takes the smallest hash of its K-byte strings, its anchor.  Equal windows have equal anchors.
-   A run is a stretch of windows with one anchor (RUN windows at most).  Runs meet by anchor: hashes only, no text.  A run
-   that as a whole also is in a smaller document is covered at once; so are repeats within a map batch, before they are
-   dealt out.  An anchor that one document alone has is done with.
-2. What is left is one run for each distinct string whose anchor several documents share.  Those strings meet by anchor in
-   buckets.  Each bucket builds a suffix array of its strings, the run-length compressed Burrows-Wheeler transform, and
+   A run is a stretch of windows with one anchor (RUN windows at most).  Runs meet by anchor: hashes only, no text.  Of runs
+   with one hash the one in the smallest document is the first, the others are its followers; repeats within a map batch are
+   told before they are dealt out.  A first without followers whose anchor one document alone has is done with.
+2. The firsts are indexed: one run for each distinct string that has followers or whose anchor several documents share.  They
+   meet by anchor in buckets.  Each bucket builds a suffix array of its strings, the run-length compressed Burrows-Wheeler transform, and
    samples the common prefix with the suffix before at the ends of the runs only; matching statistics of all other positions
    stream from these samples, in text order, one less for each step.  Suffixes with MATCH bytes in common are one group, and
-   every window whose group has a smaller document is marked.
+   every window whose group has a smaller document is marked.  For each indexed string that has followers the bucket tells
+   its digest (128 bits of its bytes) and the smallest document of its windows; followers meet these by their own digests, and
+   those in greater documents are marked as a whole.
 3. Marks meet the texts and bytes go.
 
 An anchor with more than HOT distinct runs is dealt out window by window, by the window's own hash, so no bucket grows with
-a common string.  Equality of whole runs rests on 80 bits or more of hashes, equality in step 2 on the bytes themselves.
+a common string; its followers' digest is then told by a bucket of its own.  Nothing is removed that no index has answered.
 """
 
 from __future__ import annotations
@@ -24,18 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, drop, materialize, release, text_bytes, text_slices
+from .common import buckets_for, drop, materialize, release, spread_join, text_bytes, text_slices
 
 MATCH, K, RUN, HOT = 50, 24, 64, 4096
 #: Bytes of input for each bucket of anchors.
 BUCKET_BYTES = 8 << 20
 _SLICE, _HELD = 1 << 18, 8 << 20
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_COVERED, _SHIPPED, _HOT = 0, 1, 2
+#: Replies: a follower; a first; a first of a hot anchor, without and with followers; bit 2: the first has followers.
+_FOLLOWS, _SHIPPED, _HOT, _SHARED = 0, 1, 2, 4
+_FLAG = 1 << 30  # in an ordinal: the run has followers in its batch
 _TABLE = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OCTETS = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 _power: list[np.ndarray] = []
@@ -191,7 +196,8 @@ def _scatter(n_buckets: int):
             order, first, string = _firsts(anchor, hashes, doc)
             covered = doc[order] != doc[order[first]][string]
             at = order[covered]
-            keys, blobs = _replies(doc[at], ordinal[at], anchor[at], np.full(len(at), _COVERED, np.uint8), n_buckets)
+            keys, blobs = _replies(doc[at], ordinal[at], anchor[at], np.full(len(at), _FOLLOWS, np.uint8), n_buckets)
+            ordinal[order[first[np.unique(string[covered])]]] |= _FLAG
             at = np.sort(order[~covered])
             bucket = ((anchor[at] >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
@@ -210,6 +216,10 @@ def _meet(rows: pa.Table, groups: int) -> pa.Table:
     anchor, hashes, doc, ordinal = (np.concatenate(x) for x in zip(*(_unpack(b.as_py()) for b in rows["blob"]), strict=True))
     order, first, string = _firsts(anchor, hashes, doc)
     covered = doc[order] != doc[order[first]][string]
+    flagged = (ordinal & _FLAG) > 0
+    ordinal = ordinal & ~np.int32(_FLAG)
+    shared = np.zeros(len(first), bool)
+    shared[string[covered | flagged[order]]] = True
     a = anchor[order[first]]
     new = np.concatenate([[True], a[1:] != a[:-1]])
     head = np.flatnonzero(new)
@@ -218,8 +228,10 @@ def _meet(rows: pa.Table, groups: int) -> pa.Table:
     high = np.maximum.reduceat(doc[order[last]], head)
     kinds = np.diff(np.append(head, len(first)))
     group = np.cumsum(new) - 1
-    code = np.where(kinds == 1, 255, np.where(low == high, 255, np.where(kinds > HOT, _HOT, _SHIPPED))).astype(np.uint8)[group][string]
-    code[covered] = _COVERED
+    code = np.where((kinds == 1) | (low == high), 255, np.where(kinds > HOT, _HOT, _SHIPPED))[group]
+    code = np.where(shared, np.where(code == 255, _SHIPPED, code) | _SHARED, code).astype(np.uint8)[string]
+    # one holder is enough to index a string; windows of other holders in the same document are the same
+    code[covered] = _FOLLOWS
     told = code != 255
     at = order[told]
     keys, blobs = _replies(doc[at], ordinal[at], anchor[at], code[told], groups)
@@ -235,57 +247,76 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([s[first], e[np.append(first[1:], len(s)) - 1]], 1).astype(np.int64)
 
 
+def _digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
+    view = memoryview(np.ascontiguousarray(data))
+    return [xxhash.xxh3_128_digest(view[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+
+
+def _pairs(start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Two places of each row as little-endian 64-bit numbers."""
+    both = np.stack([start, end], 1).astype("<i8")
+    return pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(np.arange(0, 16 * len(both) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(both))])
+
+
+_TAKEN = ["bucket", "doc_id", "text_hash", "at", "shared", "body", "place"]
+
+
 def _take(n_buckets: int):
-    """Documents with replies to rows: bucket -1, covered stretches of a document; else a string for that bucket."""
+    """Documents with replies to rows: bucket -1, a follower with its digest and its place; else a string for that bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "doc_id", "text_hash", "at", "body"]
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             texts, replies = batch.column(2), batch.column(3)
             for row, offsets, data in text_slices(texts, _SLICE):
                 runs = Runs(offsets, data, hashes=False)
                 heads = np.searchsorted(runs.doc, np.arange(len(offsets)), "left")
-                picked, codes, spans = [], [], []
+                picked, codes = [], []
                 for d in range(len(offsets) - 1):
                     told = np.frombuffer(replies[row + d].as_py(), _REPLY)
                     told = told[told["ordinal"] < heads[d + 1] - heads[d]]
                     at = heads[d] + told["ordinal"]
                     same = runs.anchor[at].astype(np.uint32) == told["anchor"]
-                    at, code = at[same], told["code"][same]
-                    cover = at[code == _COVERED]
-                    if len(cover):
-                        s = runs.start[cover] - offsets[d]
-                        spans.append((row + d, _merge(s, s + runs.count[cover] + MATCH - 1).tobytes()))
-                    ships = code != _COVERED
-                    picked.append(at[ships])
-                    codes.append(code[ships])
-                if spans:
-                    which = np.array([s[0] for s in spans])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(spans), -1)), pa.array(ids[which]), pa.array(marks[which]), pa.array(np.zeros(len(spans), np.int32)), pa.array([s[1] for s in spans], pa.binary())], names)
+                    picked.append(at[same])
+                    codes.append(told["code"][same])
                 at, code = np.concatenate(picked), np.concatenate(codes)
                 if not len(at):
                     continue
+
+                def rows(bucket: np.ndarray, doc: np.ndarray, start: np.ndarray, shared: np.ndarray, body: pa.Array, place: pa.Array) -> pa.RecordBatch:
+                    at = pa.array((start - offsets[doc]).astype(np.int32))  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[row + doc]), pa.array(marks[row + doc]), at, pa.array(shared), body, place], _TAKEN)  # noqa: B023
+
+                own = at[code == _FOLLOWS]
+                for k in range(0, len(own), 20_000):
+                    part = own[k : k + 20_000]
+                    doc, start, size = runs.doc[part], runs.start[part], runs.count[part] + MATCH - 1
+                    place = start - offsets[doc]
+                    yield rows(np.full(len(part), -1), doc, start, np.zeros(len(part), bool), pa.array(_digests(data, start, size), pa.binary()), _pairs(place, place + size))
+                kind, shared = code & 3, (code & _SHARED) > 0
+                hot = kind == _HOT
+                whole, alone = kind == _SHIPPED, hot & shared
+                at, shared = np.concatenate([at[whole], at[alone], at[hot]]), np.concatenate([shared[whole], shared[alone], np.zeros(hot.sum(), bool)])
+                cut = np.arange(len(at)) >= len(at) - hot.sum()  # one string for each window
                 key = runs.anchor[at] >> np.uint64(7)
-                start, size = runs.start[at], runs.count[at]
-                hot = code == _HOT
-                if hot.any():  # one string for each window
-                    of = np.repeat(at[hot], runs.count[at[hot]])
-                    inner = np.arange(len(of)) - np.repeat(np.cumsum(runs.count[at[hot]]) - runs.count[at[hot]], runs.count[at[hot]])
-                    begin = runs.start[of] + inner
-                    power, inverse = _powers(len(data) + 1)
+                start, size, doc = runs.start[at], runs.count[at] + MATCH - 1, runs.doc[at]
+                power, inverse = _powers(len(data) + 1)
+                if hot.any():
                     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * power[: len(data)])])
-                    own = _mix((sums[begin + MATCH] - sums[begin]) * inverse[begin])
-                    at, key = np.concatenate([at[~hot], of]), np.concatenate([key[~hot], own])
-                    start, size = np.concatenate([start[~hot], begin]), np.concatenate([size[~hot], np.ones(len(of), np.int64)])
-                for k in range(0, len(at), 20_000):
+                    spread = slice(int(whole.sum()), len(at) - int(hot.sum()))
+                    key[spread] = _mix((sums[start[spread] + size[spread]] - sums[start[spread]]) * inverse[start[spread]])
+                    count = runs.count[at[cut]]
+                    of = np.repeat(np.flatnonzero(cut), count)
+                    begin = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                    by_window = _mix((sums[begin + MATCH] - sums[begin]) * inverse[begin])
+                    key, start, size, doc, shared = np.concatenate([key[~cut], by_window]), np.concatenate([start[~cut], begin]), np.concatenate([size[~cut], np.full(len(of), MATCH)]), np.concatenate([doc[~cut], doc[of]]), np.concatenate([shared[~cut], np.zeros(len(of), bool)])
+                for k in range(0, len(key), 20_000):
                     part = slice(k, k + 20_000)
-                    length = size[part] + MATCH - 1
+                    length = size[part]
                     ends = np.concatenate([[0], np.cumsum(length)])
                     chars = data[np.repeat(start[part] - ends[:-1], length) + np.arange(ends[-1])]
                     body = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(chars)])
-                    d = runs.doc[at[part]]
-                    yield pa.RecordBatch.from_arrays([pa.array((key[part] % np.uint64(n_buckets)).astype(np.int64)), pa.array(ids[row + d]), pa.array(marks[row + d]), pa.array((start[part] - offsets[d]).astype(np.int32)), body], names)
+                    yield rows((key[part] % np.uint64(n_buckets)).astype(np.int64), doc[part], start[part], shared[part], body, pa.nulls(len(length), pa.binary()))
 
     return run
 
@@ -356,8 +387,9 @@ class RunLengthIndex:
         self.matching = value[last] - (np.arange(len(key)) - last)
 
 
-def marked(lengths: np.ndarray, chars: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of each window of MATCH bytes that also is in a string of a smaller document."""
+def marked(lengths: np.ndarray, chars: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset) of each window of MATCH bytes that also is in a string of a smaller document; and for each string the
+    greatest of its windows' smallest documents."""
     index = RunLengthIndex(lengths, chars)
     order = index.suffix
     new = np.ones(len(order), bool)
@@ -369,27 +401,31 @@ def marked(lengths: np.ndarray, chars: np.ndarray, doc: np.ndarray) -> tuple[np.
     least[order] = low[np.cumsum(new) - 1]
     hit = np.flatnonzero(owner > least)
     starts = np.cumsum(lengths) - lengths
-    return index.string[hit], index.place[hit] - starts[index.string[hit]]
+    most = np.full(len(lengths), np.iinfo(np.int64).min)
+    np.maximum.at(most, index.string, least)
+    return index.string[hit], index.place[hit] - starts[index.string[hit]], most
 
 
 def _match(rows: pa.Table) -> pa.Table:
-    """Marked stretches of the strings of a bucket."""
+    """What a bucket's index tells: marked stretches of its strings, body being two places; and for each string that has
+    followers its digest, as body, and in doc_id the document that theirs must be greater than."""
     rows = rows.combine_chunks()
     body = rows["body"].combine_chunks()
     offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
     chars = np.frombuffer(body.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     doc, text_hash, at = (rows[c].to_numpy() for c in ("doc_id", "text_hash", "at"))
-    string, place = marked(np.diff(offsets), chars, doc)
+    string, place, most = marked(np.diff(offsets), chars, doc)
     new = np.ones(len(string), bool)
     new[1:] = (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(string)) - 1
     s = at[string[first]] + place[first] if len(string) else np.zeros(0, np.int64)
     e = at[string[last]] + place[last] + MATCH if len(string) else np.zeros(0, np.int64)
-    spans = np.stack([s, e], 1).astype(np.int64)
-    ends = np.arange(0, 16 * len(spans) + 1, 16, dtype=np.int32)
-    body = pa.Array.from_buffers(pa.binary(), len(spans), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(spans))])
-    return pa.table({"doc_id": pa.array(doc[string[first]]), "text_hash": pa.array(text_hash[string[first]]), "body": body})
+    body = _pairs(s, e)
+    shared = np.flatnonzero(rows["shared"].to_numpy())
+    told = pa.array(_digests(chars, offsets[:-1][shared] - offsets[0], np.diff(offsets)[shared]), pa.binary())
+    one = pa.table({"confirms": pa.array(np.zeros(len(body), bool)), "doc_id": pa.array(doc[string[first]]), "text_hash": pa.array(text_hash[string[first]]), "body": body})
+    return pa.concat_tables([one, pa.table({"confirms": pa.array(np.ones(len(shared), bool)), "doc_id": pa.array(most[shared]), "text_hash": pa.array(np.zeros(len(shared), np.int64)), "body": told})])
 
 
 def _spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -406,10 +442,17 @@ def _spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     replies, replies_at = materialize(dealt.withColumn("group", key).groupBy("group").applyInArrow(answer, "key long, blob binary"), "replies")
     told = replies.groupBy("key").applyInArrow(_by_document, "key long, replies binary")
     rows = body.join(told, body.doc_id == told.key).select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "replies")
-    taken, _ = materialize(rows.mapInArrow(_take(4 * n_buckets), "bucket long, doc_id long, text_hash long, at int, body binary"), "strings")
-    drop(spark, replies_at)
-    matched = taken.where("bucket >= 0").groupBy("bucket").applyInArrow(_match, "doc_id long, text_hash long, body binary")
-    return taken.where("bucket < 0").select("doc_id", "text_hash", "body").unionByName(matched)
+    schema = "bucket long, doc_id long, text_hash long, at int, shared boolean, body binary, place binary"
+    taken, taken_at = materialize(rows.mapInArrow(_take(4 * n_buckets), schema), "strings")
+    matched = taken.where("bucket >= 0").groupBy("bucket").applyInArrow(_match, "confirms boolean, doc_id long, text_hash long, body binary")
+    matched, _ = materialize(matched, "marks")
+    follows, _ = materialize(taken.where("bucket < 0").select("doc_id", "text_hash", "place", F.col("body").alias("digest")), "follows")
+    drop(spark, replies_at, taken_at)
+    # a string may be told by several holders of one document, and of hot anchors by more than one bucket
+    known = matched.where("confirms").groupBy(F.col("body").alias("digest")).agg(F.min("doc_id").alias("least"))
+    known = known.join(follows.groupBy("digest").agg(F.count("*").alias("n")), "digest")
+    covered = spread_join(follows, known, ["digest"]).where("doc_id > least").select("doc_id", "text_hash", F.col("place").alias("body"))
+    return matched.where("not confirms").select("doc_id", "text_hash", "body").unionByName(covered)
 
 
 def _with_spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from sessionloom.llm import ego_join, langid, lm, mixing, quality, rindex, sharding, simhash, token_coder
 from sessionloom.llm.common import components
@@ -366,6 +367,15 @@ def test_repeats(docs, monkeypatch, hot):
     assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
 
 
+def test_repeats_are_told_by_the_index(docs, monkeypatch):
+    def blind(rows):
+        return pa.table({"confirms": pa.array([], pa.bool_()), "doc_id": pa.array([], pa.int64()), "text_hash": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
+
+    assert sum(r.n_removed for r in rindex.repeats(docs).collect()) > 0
+    monkeypatch.setattr(rindex, "_match", blind)
+    assert sum(r.n_removed for r in rindex.repeats(docs).collect()) == 0
+
+
 def test_repeats_edges(spark, docs):
     periodic = spark.createDataFrame([(1, "ab" * 400), (2, "ba" * 400), (3, "x" + "ab" * 30), (2, "q" * 60), (4, "q" * 60)], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_removed) for r in rindex.repeats(periodic).collect())
