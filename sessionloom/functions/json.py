@@ -16,14 +16,34 @@ TOOLS = {
     "MultiEdit": {"file_path": "string", "edits": "array"},
     "Bash": {"command": "string", "workdir?": "string", "timeout_ms?": "bigint", "description?": "string", "run_in_background?": "boolean"},
 }
-ALIASES = "claude_code: claude claude-code claudecode; claude_chat: claude-chat claude_web claude-web; chatgpt: chat_gpt chat-gpt openai_chat openai-chat; cowork_remote: cowork-remote cowork_cloud cowork-cloud; codex:; opencode: open_code open-code; pi:; campfire:; cursor: cursor_cli cursor-cli cursorcli; cursor_desktop: cursor-desktop cursordesktop cursor_ide cursor-ide; grok: grok_cli grok-cli grokcli grok_build grok-build; grok_bot: grok-bot grokbot grok_desktop grok-desktop; fx: fx_cli fx-cli fxcli vercel_fx vercel-fx; hermes: hermes_agent hermes-agent hermesagent; amp: ampcode amp_code amp-code; antigravity: agy antigravity_cli antigravity-cli anti-gravity; freebuff: free_buff free-buff freebuff_desktop freebuff-desktop; simple: simple_json simple-json; cowork: claude_cowork claude-cowork claude_desktop claude-desktop"
+#: Harnesses and the other names that each may be given by.
+ALIASES: dict[str, list[str]] = {
+    "claude_code": ["claude", "claude-code", "claudecode"],
+    "claude_chat": ["claude-chat", "claude_web", "claude-web"],
+    "chatgpt": ["chat_gpt", "chat-gpt", "openai_chat", "openai-chat"],
+    "cowork_remote": ["cowork-remote", "cowork_cloud", "cowork-cloud"],
+    "codex": [],
+    "opencode": ["open_code", "open-code"],
+    "pi": [],
+    "campfire": [],
+    "cursor": ["cursor_cli", "cursor-cli", "cursorcli"],
+    "cursor_desktop": ["cursor-desktop", "cursordesktop", "cursor_ide", "cursor-ide"],
+    "grok": ["grok_cli", "grok-cli", "grokcli", "grok_build", "grok-build"],
+    "grok_bot": ["grok-bot", "grokbot", "grok_desktop", "grok-desktop"],
+    "fx": ["fx_cli", "fx-cli", "fxcli", "vercel_fx", "vercel-fx"],
+    "hermes": ["hermes_agent", "hermes-agent", "hermesagent"],
+    "amp": ["ampcode", "amp_code", "amp-code"],
+    "antigravity": ["agy", "antigravity_cli", "antigravity-cli", "anti-gravity"],
+    "freebuff": ["free_buff", "free-buff", "freebuff_desktop", "freebuff-desktop"],
+    "simple": ["simple_json", "simple-json"],
+    "cowork": ["claude_cowork", "claude-cowork", "claude_desktop", "claude-desktop"],
+}
 
 
 def harness(name: str) -> str:
     """The harness that a name or alias means."""
-    for item in ALIASES.split(";"):
-        own, others = item.strip().split(":")
-        if name in (own, *others.split()):
+    for own, others in ALIASES.items():
+        if name == own or name in others:
             return own
     raise ValueError(f"unknown harness {name!r}")
 

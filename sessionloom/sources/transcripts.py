@@ -280,31 +280,30 @@ def conflicting_events(docs: DataFrame) -> DataFrame:
     return e.where("event_id is not null").groupBy("file", "event_id").agg(F.count_distinct("h").alias("n")).where("n > 1").drop("n")
 
 
-#: Native tool names by harness, as native=canonical.
-TOOL_NAMES = {
-    "opencode": "bash=Bash read=Read write=Write edit=Edit",
-    "amp": "Bash=Bash Read=Read create_file=Write edit_file=Edit",
-    "hermes": "terminal=Bash read_file=Read write_file=Write patch=Edit",
-    "pi": "bash=Bash read=Read write=Write edit=Edit",
+#: Native tool names by harness, and the canonical name of each.
+TOOL_NAMES: dict[str, dict[str, str]] = {
+    "opencode": {"bash": "Bash", "read": "Read", "write": "Write", "edit": "Edit"},
+    "amp": {"Bash": "Bash", "Read": "Read", "create_file": "Write", "edit_file": "Edit"},
+    "hermes": {"terminal": "Bash", "read_file": "Read", "write_file": "Write", "patch": "Edit"},
+    "pi": {"bash": "Bash", "read": "Read", "write": "Write", "edit": "Edit"},
 }
-#: Native input keys by harness and native tool, as native=canonical.
-TOOL_KEYS = {
-    ("opencode", "read"): "filePath=file_path",
-    ("opencode", "write"): "filePath=file_path",
-    ("opencode", "edit"): "filePath=file_path oldString=old_string newString=new_string replaceAll=replace_all",
-    ("opencode", "bash"): "timeout=timeout_ms",
-    ("hermes", "read_file"): "path=file_path",
-    ("hermes", "write_file"): "path=file_path",
+#: Native input keys by harness and native tool, and the canonical name of each.
+TOOL_KEYS: dict[tuple[str, str], dict[str, str]] = {
+    ("opencode", "read"): {"filePath": "file_path"},
+    ("opencode", "write"): {"filePath": "file_path"},
+    ("opencode", "edit"): {"filePath": "file_path", "oldString": "old_string", "newString": "new_string", "replaceAll": "replace_all"},
+    ("opencode", "bash"): {"timeout": "timeout_ms"},
+    ("hermes", "read_file"): {"path": "file_path"},
+    ("hermes", "write_file"): {"path": "file_path"},
 }
 
 
 def normalize_tool(harness: str, name: Column, given: Column) -> tuple[Column, Column]:
     """Canonical name and input of a native call; unknown tools stay as they are."""
-    names = dict(x.split("=") for x in TOOL_NAMES.get(harness, "").split())
     out_name, out_input = name, given
-    for native, canonical in names.items():
+    for native, canonical in TOOL_NAMES.get(harness, {}).items():
         keys = TOOL_KEYS.get((harness, native))
-        renamed = J.rename_keys(given, dict(x.split("=") for x in keys.split())) if keys else given
+        renamed = J.rename_keys(given, keys) if keys else given
         out_input = F.when(name == native, renamed).otherwise(out_input)
         out_name = F.when(name == native, canonical).otherwise(out_name)
     return out_name, out_input

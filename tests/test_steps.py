@@ -57,5 +57,5 @@ def test_all_harnesses_have_an_adapter():
     from sessionloom.functions.json import ALIASES
     from sessionloom.sources import logs, transcripts, trees  # noqa: F401
 
-    assert set(base.ADAPTERS) == {x.split(":")[0].strip() for x in ALIASES.split(";")}
+    assert set(base.ADAPTERS) == set(ALIASES)
     assert json.dumps(sorted(base.ADAPTERS)).count('"') == 38
