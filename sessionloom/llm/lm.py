@@ -14,7 +14,7 @@ the probabilities of all words add up to 1, and a document that has a copy is to
 The network.  Its input layer holds the units at the four places around a word, one weight for each place, unit and output;
 its output is a softmax over classes of units, then one over the class's units.  A weight is the logarithm of how much more
 often that output is found at that distance from that unit than elsewhere, shrunk by SHRINK counts.  The gains of the two
-distances in each softmax are trained: a Newton step on the pseudo-likelihood of all words.
+distances, the same in both softmaxes, are trained: a Newton step on the pseudo-likelihood of all words' classes.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from .common import drop, materialize, release, text_bytes
 
 #: The least number of units, and words in all up to which it stays; words before and after; the count, as a part of the root
 #: of all words, from which a word's count is kept; the shrinkage of weights; words of a step; parts of the table of pairs.
-UNITS, SMALL, SIDE, LISTED, SHRINK, STEP, PARTS = 1024, 1 << 25, 2, 64, 20.0, 16384, 64
+UNITS, SMALL, SIDE, LISTED, SHRINK, STEP, PARTS = 1024, 1 << 25, 2, 64, 20.0, 2048, 64
 #: The gains before training.
 GAINS = (0.5, 0.3)
 _SPELL = float(np.log(1 / 257))
@@ -147,23 +147,37 @@ class _Codes(dict):
         return found
 
 
-def _codes(batch: pa.RecordBatch, column: int, codes: _Codes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of documents: first row, codes with SIDE edges around each document, words of each document."""
-    first, held, ids, sizes = 0, 0, [np.zeros(SIDE, np.int32)], []
-    for row, body in enumerate(text_bytes(batch.column(column))):
-        words = (body or b"").split()
-        ids += [np.fromiter(map(codes.__getitem__, words), np.int32, len(words)), np.zeros(SIDE, np.int32)]
-        sizes.append(len(words))
-        held += len(words)
-        if held > 1 << 18:
-            yield first, np.concatenate(ids), np.array(sizes)
-            first, held, ids, sizes = row + 1, 0, [np.zeros(SIDE, np.int32)], []
-    if sizes:
-        yield first, np.concatenate(ids), np.array(sizes)
+def coded(docs: DataFrame, known: Vocabulary, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, key, codes) of each row: the document's key and its words' codes as 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes(known)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = []
+                for body in text_bytes(part.column(2)):
+                    words = (body or b"").split()
+                    found.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], ["doc_id", "key", "codes"])
+        release()
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("key", T.LongType()), T.StructField("codes", T.BinaryType())])
+    return docs.select(F.col(doc_id).alias("doc_id"), _document(doc_id, text).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+
+
+def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a column of documents, with SIDE edges around each document, and the words of each."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    sizes = np.diff(offsets) // 4
+    out = np.zeros(int(sizes.sum()) + SIDE * (len(sizes) + 1), np.int32)
+    if sizes.any():
+        out[_places(sizes)] = np.frombuffer(column.buffers()[2], np.int32, int(sizes.sum()), int(offsets[0]))
+    return out, sizes
 
 
 def _places(sizes: np.ndarray) -> np.ndarray:
-    """Places of the documents' words among the codes of _codes()."""
+    """Places of the documents' words among the codes of _lines()."""
     return np.arange(int(sizes.sum())) + SIDE * (1 + np.repeat(np.arange(len(sizes)), sizes))
 
 
@@ -187,8 +201,8 @@ def _unblob(raw: bytes, size: int) -> np.ndarray:
     return out
 
 
-def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text") -> np.ndarray:
-    """[d, a, b]: how often unit b stands d + 1 places after unit a; unit 0 is the edge of a document.
+def pair_counts(rows: DataFrame, known: Vocabulary) -> np.ndarray:
+    """[d, a, b], of coded rows: how often unit b stands d + 1 places after unit a; unit 0 is the edge of a document.
 
     Tasks add up their own pairs; PARTS parts of the table are added up apart."""
     units = known.size
@@ -196,10 +210,10 @@ def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text") -> np.nd
     width = -(-cells // PARTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, table = _Codes(known), np.zeros((SIDE, units * units), np.int64)
+        table = np.zeros((SIDE, units * units), np.int64)
         for batch in batches:
-            for _, found, _ in _codes(batch, 0, codes):
-                ids = known.units[found].astype(np.int64)
+            if batch.num_rows:
+                ids = known.units[_lines(batch.column(0))[0]].astype(np.int64)
                 for d in range(1, SIDE + 1):
                     table[d - 1] += np.bincount(ids[:-d] * units + ids[d:], minlength=units * units)
         table.reshape(SIDE, units, units)[:, 0, 0] = 0  # two edges are no pair
@@ -208,14 +222,14 @@ def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text") -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([_blob(flat[k * width : (k + 1) * width]) for k in parts], pa.binary())], ["part", "raw"])
         release()
 
-    def add(rows: pa.Table) -> pa.Table:
+    def add(blobs: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
-        for raw in rows["raw"]:
+        for raw in blobs["raw"]:
             total += _unblob(raw.as_py(), width)
-        return pa.table({"part": rows["part"][:1], "raw": pa.array([_blob(total)], pa.binary())})
+        return pa.table({"part": blobs["part"][:1], "raw": pa.array([_blob(total)], pa.binary())})
 
     table = np.zeros(PARTS * width, np.int64)
-    for r in docs.select(F.col(text)).mapInArrow(run, "part long, raw binary").groupBy("part").applyInArrow(add, "part long, raw binary").collect():  # PARTS rows
+    for r in rows.select("codes").mapInArrow(run, "part long, raw binary").groupBy("part").applyInArrow(add, "part long, raw binary").collect():  # PARTS rows
         table[r["part"] * width : (r["part"] + 1) * width] = _unblob(bytes(r["raw"]), width)
     return table[:cells].reshape(SIDE, units, units)
 
@@ -223,7 +237,7 @@ def pair_counts(docs: DataFrame, known: Vocabulary, text: str = "text") -> np.nd
 class Network:
     """Weights of both softmaxes for each place, without gains: [place, unit, class] and [place, unit, class, member]."""
 
-    def __init__(self, pairs: np.ndarray):
+    def __init__(self, pairs: np.ndarray, members_too: bool = True):
         units = pairs.shape[1]
         side = self.side = int(round(np.sqrt(units)))
         own = pairs[0].sum(0).astype(float)
@@ -235,7 +249,7 @@ class Network:
         self.log_member = np.log(members).astype(np.float32)
         share = classes / classes.sum()
         self.to_class = np.empty((len(_AROUND), units, side), np.float32)
-        self.to_member = np.empty((len(_AROUND), units, side, side), np.float32)
+        self.to_member = np.empty((len(_AROUND), units, side, side) if members_too else (0,), np.float32)
         for k, place in enumerate(_AROUND):
             counts = pairs[_DISTANCE[k]] if place < 0 else pairs[_DISTANCE[k]].T
             counts = counts.astype(float)
@@ -243,49 +257,54 @@ class Network:
             cells = counts.reshape(units, side, side)
             sums = cells.sum(2)
             self.to_class[k] = np.log((sums / share + SHRINK) / (sums.sum(1, keepdims=True) + SHRINK))
-            self.to_member[k] = np.log((cells / members + SHRINK) / (sums[:, :, None] + SHRINK))
+            if members_too:
+                self.to_member[k] = np.log((cells / members + SHRINK) / (sums[:, :, None] + SHRINK))
 
     def scaled(self, gains: np.ndarray) -> Network:
-        """The same network with the gains [softmax, distance] in its weights."""
+        """The same network with the gains, one for each distance, in its weights."""
         out = object.__new__(Network)
         out.side, out.log_class, out.log_member = self.side, self.log_class, self.log_member
-        by_place = np.asarray(gains, np.float32)[:, _DISTANCE]
-        out.to_class = self.to_class * by_place[0][:, None, None]
-        out.to_member = self.to_member * by_place[1][:, None, None, None]
+        by_place = np.asarray(gains, np.float32)[_DISTANCE]
+        out.to_class = self.to_class * by_place[:, None, None]
+        out.to_member = self.to_member * by_place[:, None, None, None]
         return out
 
     def forward(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the target units in their windows [row, place]."""
+        """Log-probabilities of the target units in their windows [row, place].  With gains of 1 at most no sum is beyond what
+        exp can take."""
         side, rows = self.side, np.arange(len(target))
         cls, member = target // side, target % side
-        out = np.zeros(len(target))
-        first, second = self.log_class + np.zeros((len(target), 1), np.float32), self.log_member[cls]
+        first, second = self.to_class[0].take(context[:, 0], axis=0), self.log_member.take(cls, axis=0)
+        first += self.log_class
         for k in range(context.shape[1]):
-            first += self.to_class[k][context[:, k]]
-            second += self.to_member[k][context[:, k], cls]
+            if k:
+                first += self.to_class[k].take(context[:, k], axis=0)
+            second += self.to_member[k].reshape(-1, side).take(context[:, k] * side + cls, axis=0)
+        out = np.zeros(len(target))
+        one = np.ones(side, np.float32)
         for z, own in ((first, cls), (second, member)):
-            z -= z.max(1, keepdims=True)
             score = z[rows, own]
-            out += score - np.log(np.exp(z, out=z).sum(1))
+            np.exp(z, out=z)
+            out += score - np.log(z @ one)
         return out
 
     def slopes(self, context: np.ndarray, target: np.ndarray, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The gradient [softmax, distance] and the curvature [softmax, distance, distance] of the sum of forward()."""
-        side, rows = self.side, np.arange(len(target))
-        cls, member = target // side, target % side
-        slope, bend = np.zeros((2, SIDE)), np.zeros((2, SIDE, SIDE))
-        for s, (base, own) in enumerate(((self.log_class + np.zeros((len(target), 1), np.float32), cls), (self.log_member[cls], member))):
-            x = [np.zeros_like(base) for _ in range(SIDE)]
-            for k in range(context.shape[1]):
-                x[_DISTANCE[k]] += self.to_class[k][context[:, k]] if s == 0 else self.to_member[k][context[:, k], cls]
-            z = base + sum(np.float32(g) * v for g, v in zip(gains[s], x, strict=True))
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            mean = [(p * v).sum(1, dtype=float) for v in x]
-            for i in range(SIDE):
-                slope[s, i] = (x[i][rows, own] - mean[i]).sum()
-                for j in range(i + 1):
-                    bend[s, i, j] = bend[s, j, i] = ((p * x[i] * x[j]).sum(1, dtype=float) - mean[i] * mean[j]).sum()
+        """The gradient [distance] and the curvature [distance, distance] of the sum of the classes' log-probabilities."""
+        rows, cls = np.arange(len(target)), target // self.side
+        x = []
+        for d in range(SIDE):
+            before, after = np.flatnonzero(_DISTANCE == d)
+            x.append(self.to_class[before].take(context[:, before], axis=0))
+            x[d] += self.to_class[after].take(context[:, after], axis=0)
+        p = np.exp(self.log_class + sum(np.float32(g) * v for g, v in zip(gains, x, strict=True)))
+        p /= (p @ np.ones(self.side, np.float32))[:, None]
+        slope, bend = np.zeros(SIDE), np.zeros((SIDE, SIDE))
+        mean = [np.einsum("ij,ij->i", p, v).astype(float) for v in x]
+        for i in range(SIDE):
+            slope[i] = (x[i][rows, cls] - mean[i]).sum()
+            weighted = p * x[i]
+            for j in range(i + 1):
+                bend[i, j] = bend[j, i] = (np.einsum("ij,ij->i", weighted, x[j]) - mean[i] * mean[j]).sum()
         return slope, bend
 
 
@@ -303,46 +322,53 @@ class Model(NamedTuple):
         return Network(_unblob(self.pairs, SIDE * units * units).reshape(SIDE, units, units)).scaled(self.gains)
 
 
-def _gains(docs: DataFrame, known: Vocabulary, pairs: bytes, text: str) -> np.ndarray:
+def _gains(rows: DataFrame, known: Vocabulary, pairs: bytes) -> np.ndarray:
     """The gains after a Newton step over all words, to two decimals: sums in another order give the same."""
     units = known.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, net = _Codes(known), Network(_unblob(pairs, SIDE * units * units).reshape(SIDE, units, units))
-        gains = np.tile(GAINS, (2, 1))
-        slope, bend = np.zeros((2, SIDE)), np.zeros((2, SIDE, SIDE))
+        net = Network(_unblob(pairs, SIDE * units * units).reshape(SIDE, units, units), False)
+        slope, bend = np.zeros(SIDE), np.zeros((SIDE, SIDE))
         for batch in batches:
-            for _, found, sizes in _codes(batch, 0, codes):
-                ids, places = known.units[found], _places(sizes)
-                for at in range(0, len(places), STEP):
-                    own = places[at : at + STEP]
-                    s, b = net.slopes(ids[own[:, None] + _AROUND], ids[own], gains)
-                    slope, bend = slope + s, bend + b
+            if not batch.num_rows:
+                continue
+            found, sizes = _lines(batch.column(0))
+            ids, places = known.units[found], _places(sizes)
+            for at in range(0, len(places), STEP):
+                own = places[at : at + STEP]
+                s, b = net.slopes(ids[own[:, None] + _AROUND], ids[own], GAINS)
+                slope, bend = slope + s, bend + b
         yield pa.RecordBatch.from_arrays([pa.array([[*slope.ravel(), *bend.ravel()]], pa.list_(pa.float64()))], ["sums"])
         release()
 
-    size = 2 * SIDE + 2 * SIDE * SIDE
-    sums = docs.select(F.col(text)).mapInArrow(run, "sums array<double>").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(size)]).first()
+    size = SIDE + SIDE * SIDE
+    sums = rows.select("codes").mapInArrow(run, "sums array<double>").agg(*[F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(size)]).first()
     flat = np.array([v or 0.0 for v in sums])
-    slope, bend = flat[: 2 * SIDE].reshape(2, SIDE), flat[2 * SIDE :].reshape(2, SIDE, SIDE)
-    step = np.stack([np.linalg.solve(b + 1e-3 * np.eye(SIDE) * (1 + np.trace(b)), s) for s, b in zip(slope, bend, strict=True)])
-    return np.round(np.clip(np.array(GAINS) + step, 0, 1.5), 2)
+    slope, bend = flat[:SIDE], flat[SIDE:].reshape(SIDE, SIDE)
+    step = np.linalg.solve(bend + 1e-3 * np.eye(SIDE) * (1 + np.trace(bend)), slope)
+    return np.round(np.clip(np.array(GAINS) + step, 0, 1), 2)
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
-    """The vocabulary, the network and the words that occur once, from all rows of docs.
-
-    Null and empty texts have no words.  Repeated rows count as often as they are there, so their words occur elsewhere.  An
-    empty table gives a model in which all units are alike.  The driver sees the listed words and the table of pairs, both of
-    which grow with the corpus more slowly than its root."""
+def _train(docs: DataFrame, text: str, doc_id: str) -> tuple[Model, DataFrame]:
+    """The model, and the coded rows that it was trained on, written."""
     counts, counts_at = materialize(word_counts(docs, text, doc_id), "counts")
     known = vocabulary(counts)
     change = F.get(F.lit([float(x) for x in known.alone - known.shares[-known.shared :]]), F.pmod("h", F.lit(known.shared)).cast("int")) + (F.col("size") + 1) * F.lit(_SPELL)
     unseen = counts.where("n = 1").groupBy("document").agg(F.count("*").alias("n_unseen"), F.sum(change.cast("decimal(20,6)")).cast("double").alias("change"))
     unseen, _ = materialize(unseen, "unseen")
     drop(docs.sparkSession, counts_at)
-    pairs = _blob(pair_counts(docs, known, text).ravel())
-    return Model(known, pairs, _gains(docs, known, pairs, text), unseen)
+    rows, _ = materialize(coded(docs, known, text, doc_id), "codes")
+    pairs = _blob(pair_counts(rows, known).ravel())
+    return Model(known, pairs, _gains(rows, known, pairs), unseen), rows
+
+
+def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model:
+    """The vocabulary, the network and the words that occur once, from all rows of docs.
+
+    Null and empty texts have no words.  Repeated rows count as often as they are there, so their words occur elsewhere.  An
+    empty table gives a model in which all units are alike.  The driver sees the listed words and the table of pairs, both of
+    which grow with the corpus more slowly than its root."""
+    return _train(docs, text, doc_id)[0]
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -351,25 +377,36 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 
     Null and empty texts have no words and a sum of 0.  Repeated rows are scored one by one, alike.  An empty table gives no
     rows.  Other columns are not read."""
-    known = model.words
-    shell = model._replace(unseen=None)
+    return _scored(coded(docs, model.words, text, doc_id), model)
+
+
+def score_corpus(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """score() of the rows that the model is trained on; their words are looked up once."""
+    model, rows = _train(docs, text, doc_id)
+    return _scored(rows, model)
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    known, shell = model.words, model._replace(unseen=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, net = _Codes(known), shell.network()
+        net = shell.network()
         for batch in batches:
-            for first, found, sizes in _codes(batch, 2, codes):
-                ids, shares, places = known.units[found], known.shares[found], _places(sizes)
-                logs = [net.forward(ids[own[:, None] + _AROUND], ids[own]) + shares[own] for own in (places[at : at + STEP] for at in range(0, len(places), STEP))]
-                flat = np.concatenate([*logs, np.zeros(1)])
-                some = np.flatnonzero(sizes)
-                total = np.zeros(len(sizes))
-                total[some] = np.add.reduceat(flat, (np.cumsum(sizes) - sizes)[some])
-                rows = batch.slice(first, len(sizes))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes.astype(np.int64)), pa.array(total)], ["doc_id", "key", "n_words", "total"])
+            if not batch.num_rows:
+                continue
+            found, sizes = _lines(batch.column(2))
+            units, places = known.units[found], _places(sizes)
+            flat = np.zeros(len(places) + 1)
+            for at in range(0, len(places), STEP):
+                own = places[at : at + STEP]
+                flat[at : at + len(own)] = net.forward(units[own[:, None] + _AROUND], units[own]) + known.shares[found[own]]
+            some, total = np.flatnonzero(sizes), np.zeros(len(sizes))
+            total[some] = np.add.reduceat(flat, (np.cumsum(sizes) - sizes)[some])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(total)], ["doc_id", "key", "n_words", "total"])
         release()
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("total", T.DoubleType())])
-    out = docs.select(F.col(doc_id).alias("doc_id"), _document(doc_id, text).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("total", T.DoubleType())])
+    out = rows.mapInArrow(run, schema)
     if model.unseen is not None:
         out = out.join(model.unseen, F.col("key") == F.col("document"), "left")
     else:
