@@ -36,9 +36,12 @@ def prune(cache: DataFrame, live: DataFrame) -> DataFrame:
     return cache.join(live.select("doc").distinct(), "doc", "left_semi")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with new's rows in place of those of the same key; of new's own repeats one stays."""
-    fresh = new.dropDuplicates(keys)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """old with new's rows in place of those of the same key.  Of new's own repeats the last stays: the one with the greatest
+    value of the column `order`; without one, the greatest in all its columns, so that reruns agree."""
+    rest = [x for x in new.columns if x not in keys]
+    last = F.struct(*([F.col(order).alias("_o")] if order else []), *rest)
+    fresh = new.groupBy(*keys).agg(F.max(last).alias("_last")).select(*[F.col(x) if x in keys else F.col(f"_last.{x}") for x in new.columns])
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 

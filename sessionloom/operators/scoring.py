@@ -70,6 +70,14 @@ def verdicts(candidates: DataFrame, decisions: DataFrame, selected: DataFrame, o
     return rows.select("cand", "relevance", verdict.alias("verdict"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Verdicts in the order in which they are told, with `pos`: the most relevant first, then by candidate.
+
+    The order is of one answer's candidates, at most a scorer's widened number of them, not of the corpus."""
+    order = Window.orderBy(F.desc("relevance"), "cand")
+    return rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
+
+
 def message_texts(blocks: DataFrame) -> DataFrame:
     """(doc, msg_idx, content, batch): what a scorer sees of a session's messages, blank ones left out, in batches."""
     body = F.when(F.col("type") == "text", F.col("text")).otherwise(F.coalesce("result_text", "result_json"))

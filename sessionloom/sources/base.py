@@ -91,6 +91,8 @@ def discover(stores: dict[str, Sessions], harnesses: list[str] | None = None) ->
     """Sessions of all stores, newest first; only the named harnesses' stores are looked at, if any is named."""
     wanted = [J.harness(h) for h in harnesses] if harnesses else list(stores)
     tables = [stores[h].sessions for h in wanted if h in stores]
+    if not tables:
+        raise ValueError(f"no store of {', '.join(wanted) or 'any harness'}")
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
