@@ -410,14 +410,15 @@ def exclude_copies(spark, sf_dir):
 
 # ── scorers ────────────────────────────────────────────────────────────
 def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = c.read(spark, sf_dir, "documents").where("lang = 'de'")
-    cands = docs.select(F.concat(F.lit("simple:doc-"), "doc_id").alias("cand"), F.lit("simple").alias("harness"), F.concat(F.lit("doc-"), "doc_id").alias("id"), F.concat(F.lit("simple:doc-"), "doc_id").alias("doc"), F.lit(0).alias("msg_idx"), F.left("text", F.lit(200)).alias("content"), F.lit(0.0).cast("float").alias("relevance"), F.lit(0).alias("rank"))
+    docs = c.read(spark, sf_dir, "documents")
+    cands = docs.select(F.concat(F.lit("simple:doc-"), "doc_id").alias("cand"), F.lit("simple").alias("harness"), F.concat(F.lit("doc-"), "doc_id").alias("id"), F.concat(F.lit("simple:doc-"), "doc_id").alias("doc"), F.lit(0).alias("msg_idx"), F.col("text").alias("content"), F.lit(0.0).cast("float").alias("relevance"), F.lit(0).alias("rank"))
     labels = c.read(spark, sf_dir, "labels")
     relevance = (F.lit(0.5) + F.col("quality") * 0.25 + F.col("toxic") * 0.125 - (F.col("doc_id") % 8) * 0.015625).cast("float")
-    return cands, labels.select(F.concat(F.lit("simple:doc-"), "doc_id").alias("cand"), relevance.alias("relevance"), (F.col("quality") == 1).alias("retrieve"))
+    decided = F.col("doc_id") + F.when(F.col("doc_id") % 50 == 1, 1_000_000_000).otherwise(0)  # some decisions are on no candidate
+    return cands, labels.select(F.concat(F.lit("simple:doc-"), decided).alias("cand"), relevance.alias("relevance"), (F.col("quality") == 1).alias("retrieve"))
 
 
-_SCORED = "WITH cand AS (SELECT 'simple:doc-' || doc_id AS cand FROM documents WHERE lang = 'de'), dec AS (SELECT 'simple:doc-' || doc_id AS cand, CAST(0.5 + quality * 0.25 + toxic * 0.125 - (doc_id % 8) * 0.015625 AS FLOAT) AS relevance, quality = 1 AS retrieve FROM labels), sel AS (SELECT cand, relevance, row_number() OVER (ORDER BY relevance DESC, cand) - 1 AS rank FROM cand JOIN dec USING (cand) WHERE retrieve AND relevance >= 0.7::FLOAT ORDER BY rank LIMIT 12)"
+_SCORED = "WITH cand AS (SELECT 'simple:doc-' || doc_id AS cand FROM documents), dec AS (SELECT 'simple:doc-' || (doc_id + CASE WHEN doc_id % 50 = 1 THEN 1000000000 ELSE 0 END) AS cand, CAST(0.5 + quality * 0.25 + toxic * 0.125 - (doc_id % 8) * 0.015625 AS FLOAT) AS relevance, quality = 1 AS retrieve FROM labels), sel AS (SELECT cand, relevance, row_number() OVER (ORDER BY relevance DESC, cand) - 1 AS rank FROM cand JOIN dec USING (cand) WHERE retrieve AND relevance >= 0.7::FLOAT ORDER BY rank LIMIT 12)"
 
 
 @query("reconcile_missing", "", _SCORED + " SELECT cand FROM cand WHERE cand NOT IN (SELECT cand FROM dec)")

@@ -13,7 +13,7 @@ from sessionloom.functions.fuzzy import atoms
 from sessionloom.functions.ids import uuid5
 from sessionloom.operators import incremental, retrieval, scoring, search, structure, trim
 from sessionloom.plans import canonical as c
-from sessionloom.plans import catalogue
+from sessionloom.plans import catalogue, expressions, formats  # noqa: F401
 
 
 def one(spark, value, f):
