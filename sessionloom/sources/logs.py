@@ -27,8 +27,8 @@ def shell_command(given: Column) -> Column:
 def codex(lines: DataFrame) -> Sessions:
     """JSON lines {timestamp, type, payload} of two interleaved logs.
 
-    A call's output counts only where the other log has no result for the same occurrence of the call.  Searches and their
-    ends pair by action, the k-th with the k-th.  Messages that are setup throughout are left out."""
+    A call's output counts only where the other log has no result for the same occurrence of the call.  A search and
+    its end are paired by action, the latest open one first.  Messages that are setup throughout are left out."""
     v, order = _V("v"), _V("line_no")
     kind = J.text_at(v, "$.type")
     head = kind == "session_meta"
@@ -41,11 +41,14 @@ def codex(lines: DataFrame) -> Sessions:
     rows = lines.join(meta.select("file", "doc", F.col("ts").alias("ts0")), "file").where(kind.isin("response_item", "event_msg"))
     rows = rows.select("doc", "line_no", F.coalesce(J.timestamp(J.text_at(v, "$.timestamp")), "ts0").alias("ts"), F.try_variant_get(v, "$.payload", "variant").alias("p"))
     rows = rows.withColumns({"k": J.text_at(_V("p"), "$.type"), "call_id": J.text_at(_V("p"), "$.call_id"), "action": F.coalesce(J.json_at(_V("p"), "$.action"), F.lit("null"))})
-    by_action = Window.partitionBy("doc", "k", "action").orderBy("line_no")
-    nth = F.when(F.col("k").isin("web_search_call", "web_search_end"), F.row_number().over(by_action))
-    rows = rows.withColumn("nth", nth)
-    ends = rows.where("k = 'web_search_end' and call_id is not null").select("doc", "action", "nth", F.col("call_id").alias("end_id"))
-    rows = rows.join(ends, ["doc", "action", "nth"], "left")
+    # A search without an id and an end answer the latest open one of the other kind with their action, whichever comes first:
+    # they are steps up and down, and two steps over the same edge, one after the other, are a pair.
+    step = F.when((F.col("k") == "web_search_call") & F.col("call_id").isNull(), 1).when((F.col("k") == "web_search_end") & F.col("call_id").isNotNull(), -1)
+    height = F.sum(step).over(Window.partitionBy("doc", "action").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("edge", F.when(step == 1, height).when(step == -1, height + 1))
+    rows = rows.withColumn("nth", F.when(F.col("edge").isNotNull(), F.row_number().over(Window.partitionBy("doc", "k", "action", "edge").orderBy("line_no"))))
+    ends = rows.where("k = 'web_search_end' and call_id is not null").select("doc", "action", "edge", "nth", F.col("call_id").alias("end_id"))
+    rows = rows.join(ends, ["doc", "action", "edge", "nth"], "left")
     rows = rows.withColumn("call_id", F.when(F.col("k") == "web_search_call", F.coalesce("call_id", "end_id", F.concat(F.lit("web_search:"), "line_no"))).otherwise(F.col("call_id")))
     so_far = Window.partitionBy("doc", "call_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("occurrence", F.coalesce(F.max(F.when(F.col("k").isin("function_call", "custom_tool_call"), F.col("line_no"))).over(so_far), F.lit(-1)))

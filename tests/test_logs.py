@@ -47,6 +47,15 @@ def test_codex_mirrored_results_and_searches(spark):
     ]
 
 
+def test_codex_searches_pair_with_the_latest_open_one(spark):
+    call = lambda q: item("response_item", type="web_search_call", action={"query": q})
+    end = lambda q, i: item("event_msg", type="web_search_end", call_id=i, query=q, action={"query": q})
+    records = [item("session_meta", id="c2"), call("a"), call("a"), end("a", "x"), end("a", "y"), end("b", "u"), end("b", "v"), call("b"), call("b"), call("b")]
+    got = [(g[3], g[5]) for g in rows(logs.codex(lines(spark, records)))]
+    uses = [i for kind, i in got if kind == "tool_use"]
+    assert uses[:4] == ["y", "x", "v", "u"] and uses[4].startswith("web_search:")
+
+
 def test_cursor(spark):
     s = spark.createDataFrame([("c", "t", "/w", "m", 1704067200000)], "id string, title string, cwd string, model string, created_at long")
     data = ["\x0a\x05binary", {"role": "user", "content": "<user_info>x"}, {"role": "user", "content": "<user_query>\nq\n</user_query>"}, {"role": "assistant", "content": [{"type": "reasoning", "text": "r"}, {"type": "text", "text": "a [REDACTED]"}, {"type": "tool-call", "toolCallId": "k", "toolName": "Shell", "args": {"b": 1, "a": 2}}]}, {"role": "tool", "content": [{"type": "tool-result", "toolCallId": "k", "result": "out"}]}]
