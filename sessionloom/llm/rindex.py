@@ -11,7 +11,7 @@ A byte goes if it lies in a string of MATCH bytes that also starts in a document
    samples the common prefix with the suffix before at the ends of the runs only; matching statistics of all other positions
    stream from these samples, in text order, one less for each step.  Suffixes with MATCH bytes in common are one group, and
    every window whose group has a smaller document is marked.  For each indexed string that has followers the bucket tells
-   its digest (128 bits of its bytes) and the smallest document of its windows; followers meet these by their own digests, and
+   its digest (64 bits more of its bytes) and the smallest document of its windows; followers meet these by their own digests, and
    those in greater documents are marked as a whole.
 3. Marks meet the texts and bytes go.
 
@@ -247,18 +247,13 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([s[first], e[np.append(first[1:], len(s)) - 1]], 1).astype(np.int64)
 
 
-def _digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[bytes]:
-    view = memoryview(np.ascontiguousarray(data))
-    return [xxhash.xxh3_128_digest(view[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+def _digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+    return pa.array(np.fromiter((digest(view[a : a + n]) for a, n in zip(start.tolist(), size.tolist(), strict=True)), np.uint64, len(start)).view(np.int64))
 
 
-def _pairs(start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """Two places of each row as little-endian 64-bit numbers."""
-    both = np.stack([start, end], 1).astype("<i8")
-    return pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(np.arange(0, 16 * len(both) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(both))])
-
-
-_TAKEN = ["bucket", "doc_id", "text_hash", "at", "shared", "body", "place"]
+#: Columns of strings and followers; a follower has a digest and a size, a string its octets.
+_TAKEN = ["bucket", "doc_id", "text_hash", "at", "size", "shared", "digest", "body"]
 
 
 def _take(n_buckets: int):
@@ -283,16 +278,15 @@ def _take(n_buckets: int):
                 if not len(at):
                     continue
 
-                def rows(bucket: np.ndarray, doc: np.ndarray, start: np.ndarray, shared: np.ndarray, body: pa.Array, place: pa.Array) -> pa.RecordBatch:
+                def rows(bucket: np.ndarray, doc: np.ndarray, start: np.ndarray, size: pa.Array, shared: np.ndarray, digest: pa.Array, body: pa.Array) -> pa.RecordBatch:
                     at = pa.array((start - offsets[doc]).astype(np.int32))  # noqa: B023
-                    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[row + doc]), pa.array(marks[row + doc]), at, pa.array(shared), body, place], _TAKEN)  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[row + doc]), pa.array(marks[row + doc]), at, size, pa.array(shared), digest, body], _TAKEN)  # noqa: B023
 
                 own = at[code == _FOLLOWS]
                 for k in range(0, len(own), 20_000):
                     part = own[k : k + 20_000]
                     doc, start, size = runs.doc[part], runs.start[part], runs.count[part] + MATCH - 1
-                    place = start - offsets[doc]
-                    yield rows(np.full(len(part), -1), doc, start, np.zeros(len(part), bool), pa.array(_digests(data, start, size), pa.binary()), _pairs(place, place + size))
+                    yield rows(np.full(len(part), -1), doc, start, pa.array(size.astype(np.int32)), np.zeros(len(part), bool), _digests(data, start, size), pa.nulls(len(part), pa.binary()))
                 kind, shared = code & 3, (code & _SHARED) > 0
                 hot = kind == _HOT
                 whole, alone = kind == _SHIPPED, hot & shared
@@ -316,7 +310,7 @@ def _take(n_buckets: int):
                     ends = np.concatenate([[0], np.cumsum(length)])
                     chars = data[np.repeat(start[part] - ends[:-1], length) + np.arange(ends[-1])]
                     body = pa.Array.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(chars)])
-                    yield rows((key[part] % np.uint64(n_buckets)).astype(np.int64), doc[part], start[part], shared[part], body, pa.nulls(len(length), pa.binary()))
+                    yield rows((key[part] % np.uint64(n_buckets)).astype(np.int64), doc[part], start[part], pa.nulls(len(length), pa.int32()), shared[part], pa.nulls(len(length), pa.int64()), body)
 
     return run
 
@@ -407,8 +401,8 @@ def marked(lengths: np.ndarray, chars: np.ndarray, doc: np.ndarray) -> tuple[np.
 
 
 def _match(rows: pa.Table) -> pa.Table:
-    """What a bucket's index tells: marked stretches of its strings, body being two places; and for each string that has
-    followers its digest, as body, and in doc_id the document that theirs must be greater than."""
+    """What a bucket's index tells: marked stretches of its strings, span being the start and the end, 32 bits each; and for each
+    string that has followers its digest, and in doc_id the document that theirs must be greater than."""
     rows = rows.combine_chunks()
     body = rows["body"].combine_chunks()
     offsets = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64)
@@ -421,15 +415,15 @@ def _match(rows: pa.Table) -> pa.Table:
     last = np.append(first[1:], len(string)) - 1
     s = at[string[first]] + place[first] if len(string) else np.zeros(0, np.int64)
     e = at[string[last]] + place[last] + MATCH if len(string) else np.zeros(0, np.int64)
-    body = _pairs(s, e)
     shared = np.flatnonzero(rows["shared"].to_numpy())
-    told = pa.array(_digests(chars, offsets[:-1][shared] - offsets[0], np.diff(offsets)[shared]), pa.binary())
-    one = pa.table({"confirms": pa.array(np.zeros(len(body), bool)), "doc_id": pa.array(doc[string[first]]), "text_hash": pa.array(text_hash[string[first]]), "body": body})
-    return pa.concat_tables([one, pa.table({"confirms": pa.array(np.ones(len(shared), bool)), "doc_id": pa.array(most[shared]), "text_hash": pa.array(np.zeros(len(shared), np.int64)), "body": told})])
+    told = _digests(chars, offsets[:-1][shared] - offsets[0], np.diff(offsets)[shared])
+    marks = {"doc_id": pa.array(doc[string[first]]), "text_hash": pa.array(text_hash[string[first]]), "span": pa.array((s << 32) | e), "digest": pa.nulls(len(first), pa.int64())}
+    confirms = {"doc_id": pa.array(most[shared]), "text_hash": pa.nulls(len(shared), pa.int64()), "span": pa.nulls(len(shared), pa.int64()), "digest": told}
+    return pa.concat_tables([pa.table(marks), pa.table(confirms)])
 
 
 def _spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc_id, text_hash, body): stretches to remove, as pairs of 64-bit numbers."""
+    """(doc_id, text_hash, span): stretches to remove, start and end as 32 bits each."""
     spark = docs.sparkSession
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and octet_length(text) >= " + str(MATCH))
     n_buckets = buckets_for(docs, BUCKET_BYTES)
@@ -442,34 +436,35 @@ def _spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     replies, replies_at = materialize(dealt.withColumn("group", key).groupBy("group").applyInArrow(answer, "key long, blob binary"), "replies")
     told = replies.groupBy("key").applyInArrow(_by_document, "key long, replies binary")
     rows = body.join(told, body.doc_id == told.key).select("doc_id", F.xxhash64("text").alias("text_hash"), "text", "replies")
-    schema = "bucket long, doc_id long, text_hash long, at int, shared boolean, body binary, place binary"
-    taken, taken_at = materialize(rows.mapInArrow(_take(4 * n_buckets), schema), "strings")
-    matched = taken.where("bucket >= 0").groupBy("bucket").applyInArrow(_match, "confirms boolean, doc_id long, text_hash long, body binary")
+    schema = "bucket long, doc_id long, text_hash long, at int, size int, shared boolean, digest long, body binary"
+    taken, _ = materialize(rows.mapInArrow(_take(4 * n_buckets), schema), "strings")
+    drop(spark, replies_at)
+    matched = taken.where("bucket >= 0").groupBy("bucket").applyInArrow(_match, "doc_id long, text_hash long, span long, digest long")
     matched, _ = materialize(matched, "marks")
-    follows, _ = materialize(taken.where("bucket < 0").select("doc_id", "text_hash", "place", F.col("body").alias("digest")), "follows")
-    drop(spark, replies_at, taken_at)
+    follows = taken.where("bucket < 0").select("doc_id", "text_hash", "at", "size", "digest")
     # a string may be told by several holders of one document, and of hot anchors by more than one bucket
-    known = matched.where("confirms").groupBy(F.col("body").alias("digest")).agg(F.min("doc_id").alias("least"))
+    known = matched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     known = known.join(follows.groupBy("digest").agg(F.count("*").alias("n")), "digest")
-    covered = spread_join(follows, known, ["digest"]).where("doc_id > least").select("doc_id", "text_hash", F.col("place").alias("body"))
-    return matched.where("not confirms").select("doc_id", "text_hash", "body").unionByName(covered)
+    start = F.col("at").cast("long")
+    covered = spread_join(follows, known, ["digest"]).where("doc_id > least").select("doc_id", "text_hash", (F.shiftleft(start, 32) + start + F.col("size")).alias("span"))
+    return matched.where("digest is null").select("doc_id", "text_hash", "span").unionByName(covered)
 
 
 def _with_spans(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """All rows of docs as (doc, id, text, spans); spans: an array of blobs or null."""
-    spans = _spans(docs, text, doc_id).groupBy("doc_id", "text_hash").agg(F.collect_list("body").alias("spans"))
+    """All rows of docs as (doc, id, text, spans); spans: an array or null."""
+    spans = _spans(docs, text, doc_id).groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("doc"), F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     return rows.join(spans, (rows.id == spans.doc_id) & (rows.mark == spans.text_hash), "left").select("doc", "id", "text", "spans")
 
 
-def _cut(text: bytes | None, spans: list[bytes] | None) -> tuple[bytes, int, int]:
+def _cut(text: bytes | None, spans: list[int] | None) -> tuple[bytes, int, int]:
     """What remains of a text, how many bytes go, and in how many stretches."""
     text = text or b""
     if not spans:
         return text, 0, 0
-    pairs = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
-    whole = _merge(pairs[:, 0], pairs[:, 1])
+    both = np.array(spans)
+    whole = _merge(both >> 32, both & 0xFFFFFFFF)
     out, at = [], 0
     for s, e in whole.tolist():
         out.append(text[at:s])
@@ -501,7 +496,8 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with what repeats() removes cut out of the texts; of a character that is cut through, the rest goes too.
 
-    Texts that lose nothing stay as they are, null included.  A document that loses all keeps its row, with an empty text."""
+    Texts that lose nothing stay as they are, null included.  A document that loses all keeps its row, with an empty text.
+    Rows without an id lose nothing; repeated rows lose the same.  An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
