@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,29 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     This cuts the lineage: a lost executor costs no earlier stage, and nothing is computed twice."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    for made in _SCOPES[-1:]:
+        made.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes the tables that materialize() makes inside, on leaving, but for those that are taken out of the list.
+
+    A result that is read later still needs its tables: only what has been written or collected inside may be used after."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        drop(spark, *made)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of materialize() that no later plan reads."""
     jvm = spark._jvm

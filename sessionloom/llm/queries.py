@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ego_join, langid, lm, mixing, quality, rindex, sentencepiece_scan, sharding, simhash, token_coder
 from .common import new_folder, read_table
@@ -60,7 +61,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text_hash")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_ego_join, op5_lm_scoring, op6_language_id, op7_sentencepiece, op8_suffix_array, op9_token_ids, op10_simhash)}
+def quality_base_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2 counts, without the trees' verdict: all that SQL can say of it."""
+    out = op2_quality_rules(spark, sf_dir)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3's shards hold: rows, sizes and the greatest slot of each."""
+    return op3_sharding(spark, sf_dir).groupBy("law").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.countDistinct("shard").alias("shards"), F.max("slot").alias("last_slot"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_sharding, op4_ego_join, op5_lm_scoring, op6_language_id, op7_sentencepiece, op8_suffix_array, op9_token_ids, op10_simhash, quality_base_numbers, shard_sizes)}
 
 OP4_SQL = """
 WITH RECURSIVE v AS (
@@ -102,4 +114,23 @@ SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.n,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN rest USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_ego_join": OP4_SQL, "op8_suffix_array": OP8_SQL}
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, p, [w[p], w[p + 1], w[p + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1))) AS p FROM d)),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+       CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+       CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words,
+       len(w) < 50 OR 100 * coalesce(hit.n, 0) > 50 * len(w) AS base_failed
+FROM d JOIN l USING (doc_id) LEFT JOIN hit USING (doc_id)
+"""
+
+SHARDS_SQL = """
+SELECT 'rows' AS law, count(*) AS n, CAST(sum(octet_length(encode(coalesce(text, ''))) + 1) AS BIGINT) AS size,
+       CAST(least(count(*), 16) AS BIGINT) AS shards, CAST((count(*) - 1) // 16 AS BIGINT) AS last_slot
+FROM documents HAVING count(*) > 0
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_ego_join": OP4_SQL, "op8_suffix_array": OP8_SQL, "quality_base_numbers": BASE_SQL, "shard_sizes": SHARDS_SQL}

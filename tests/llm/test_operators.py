@@ -341,6 +341,60 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert sorted(got, key=str) == sorted([(1, "a"), (3, "b"), (3, "q"), (None, "c")], key=str)
 
 
+def test_pipeline_against_its_stages_by_brute_force(spark, tmp_path, monkeypatch):
+    """The whole pipeline over a small table: what each stage must leave is found again in plain Python."""
+    import corpus_pipeline
+    from sessionloom.llm import common
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    passage = " ".join(rng.choice(words) for _ in range(40))
+    rows = []
+    for i in range(80):
+        body = [rng.choice(words) for _ in range(rng.randint(20, 150))]
+        if i % 5 == 0:
+            body[10:10] = passage.split()
+        rows.append((i, " ".join(body), "en", f"s{i % 3}", 0))
+    rows += [(90, rows[4][1], "en", "s1", 0), (91, None, "en", "s0", 0), (92, "", None, None, 0), (93, "again " * 80, "en", "s0", 0), (94, rows[7][1] + " more", "en", "s2", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    folder = common.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    # without labels the trees say nothing, so the base rules decide
+    good = [(r[0], r[1], r[3]) for r in rows if (b := brute_statistics(r[1]))[0] >= 50 and 100 * b[4] <= 50 * b[0]]
+    label = brute_similar([(i, t) for i, t, _ in good])
+    kept = [(i, t, s) for i, t, s in good if label[i] == i]
+    assert 0 < len(kept) < len(good) < len(rows)
+    first, cut = {}, []
+    for i, t, _ in sorted(kept):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t, s in kept:
+        gone = {p + k for p in range(len(t) - 49) if first[t[p : p + 50]] < i for k in range(50)}
+        cut.append((i, "".join(ch for p, ch in enumerate(t) if p not in gone), s))
+    assert any(len(a[1]) < len(b[1]) for a, b in zip(cut, kept, strict=True))
+    sizes = {}
+    for _, t, s in cut:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    targets = dict(zip(sorted(sizes), mixing.share_out([sizes[s] for s in sorted(sizes)], [3, 1, 2], 1.5 * sum(sizes.values()), 2.0), strict=True))
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = {i: model.encode(t) for i, t, _ in cut}
+    times = {}
+    for r in got:
+        assert list(r.ids) == ids[r.doc_id] and r.decoded
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    for s in sizes:  # every document whole as often as the target goes round, and one of them cut at its end
+        own = [times.get(i, 0) for i, t, x in cut if x == s and t.split()]
+        words_taken = sum(times.get(i, 0) * len(t.split()) for i, t, x in cut if x == s)
+        assert max(own) <= 2 and max(own) - min(own) <= 1 and round(targets[s]) <= words_taken <= round(targets[s]) + max(len(t.split()) for _, t, x in cut if x == s)
+    left = {x.split("-")[0] for x in set(os.listdir(folder)) - before}
+    assert not left & {"quality_rules", "near_duplicates", "repeats", "fingerprints", "strings"}
+
+
 def brute_repeats(rows):
     first, out = {}, {}
     for i, t in rows:
@@ -367,9 +421,40 @@ def test_repeats(docs, monkeypatch, hot):
     assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize("name", ["quality_base_numbers", "shard_sizes", "op8_suffix_array", "op4_ego_join"])
+def test_queries_agree_with_sql(spark, name):
+    duckdb, path = pytest.importorskip("duckdb"), "/root/testdata/sf0.001"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    from sessionloom.llm import queries
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.sql(f"create view {table} as select * from '{path}/{table}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    columns = sorted(want.columns)
+    got = queries.QUERIES[name](spark, path)
+    assert sorted(got.columns) == columns
+    assert sorted(map(str, map(tuple, got.select(*columns).collect()))) == sorted(map(str, want.select(*columns).fetchall()))
+
+
+def test_very_long_texts(spark):
+    """One text of megabytes beside short ones: the same numbers as for its parts alone."""
+    long = " ".join(f"word{i % 977} x{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, "a few words"), (3, long), (4, None)], "doc_id long, text string")
+    stats = {r.doc_id: r for r in quality.judge(docs, quality.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).collect()}
+    assert stats[1].n_words == 120_000 and stats[1].n_repeat_words == 0 and stats[1].n_words == stats[3].n_words
+    same = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 3, 64, 32, 3).collect()}
+    assert same[1] == same[3] == 1 and same[2] == 2
+    scored = {r.doc_id: r for r in lm.score_corpus(docs).collect()}
+    assert scored[1].n_words == 120_000 and scored[1].log_likelihood == scored[3].log_likelihood and scored[1].n_unseen == 0
+    gone = {r.doc_id: r.n_removed for r in rindex.repeats(docs).collect()}
+    assert gone == {1: 0, 2: 0, 3: len(long), 4: 0}
+
+
 def test_repeats_are_told_by_the_index(docs, monkeypatch):
     def blind(rows):
-        return pa.table({"confirms": pa.array([], pa.bool_()), "doc_id": pa.array([], pa.int64()), "text_hash": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
+        return pa.table({k: pa.array([], pa.int64()) for k in ("doc_id", "text_hash", "span", "digest")})
 
     assert sum(r.n_removed for r in rindex.repeats(docs).collect()) > 0
     monkeypatch.setattr(rindex, "_match", blind)
@@ -617,7 +702,7 @@ def test_token_files(spark, docs, tmp_path, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     more = spark.createDataFrame([(300, "a  b <|endoftext|> c\n\n d e "), (301, "it's\ttabs\x00 nul"), (302, "two\n\nends.\nA b\nc "), (303, "lines\nof 3 words.\nIt's \u00a0 d\u2028e"), (304, "long " * 60_000 + "end")], "doc_id long, text string")
     every = docs.select("doc_id", "text").unionByName(more)
-    token_coder.write_ids(every, f"file://{tmp_path}/ids", path, end_id=2)
+    token_coder.write_ids(every.selectExpr("*", "'x' as part", "1 as raw", "0 as h", "2 as n_tokens"), f"file://{tmp_path}/ids", path, end_id=2)
     own = Tokenizer.from_file(path)
     rows = sorted(every.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     got = sorted(token_coder.read_ids(spark, f"file://{tmp_path}/ids", with_ids=True).collect(), key=lambda r: r.start)
