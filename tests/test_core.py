@@ -260,7 +260,7 @@ ODD_SECRETS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["mask_secrets"])
+@pytest.mark.parametrize("name", ["mask_secrets", "redact_count"])
 def test_secret_queries_agree_with_sql_on_odd_texts(spark, tmp_path, name):
     path = f"{tmp_path}/documents.parquet"
     spark.createDataFrame(list(enumerate(ODD_SECRETS)), "doc_id long, text string").write.parquet(path)
