@@ -41,7 +41,8 @@ def shuffled(docs: DataFrame, key: list[Column], rows_per_bucket: int, seed: int
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(n_buckets)))
     heavy = rows.groupBy("_bucket").count().where(F.col("count") > 2 * rows_per_bucket + 64)
     heavy = heavy.select("_bucket", F.ceil(F.col("count") / rows_per_bucket).cast("long").alias("_parts"))
-    rows = rows.join(heavy, "_bucket", "left")
+    # Broadcast: the texts must not be shuffled for it.  Heavy buckets hold over twice rows_per_bucket, so they are few.
+    rows = rows.join(F.broadcast(heavy), "_bucket", "left")
     rows = rows.withColumn("_part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row"), F.col("_parts")))).drop("_parts", "_row", "_hash")
     counts = rows.groupBy("_bucket", "_part").agg(F.count("*").alias("_n"))
     # One row per bucket, so rows / rows_per_bucket of them: sums by group of buckets first, then within each group.
@@ -87,7 +88,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 23, r
     p, edge = F.col("place"), more * (least + 1)
     own = {"shard": F.when(p < edge, F.floor(p / (least + 1))).otherwise(more + F.floor((p - edge) / max(least, 1))).cast("int"), "slot": F.when(p < edge, p % (least + 1)).otherwise((p - edge) % max(least, 1)).cast("long")}
     placed = placed.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(k) for k, c in own.items()])
-    placed.write.partitionBy("shard").parquet(path)
+    placed.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     drop(docs.sparkSession, scattered)
     return docs.sparkSession.read.schema(placed.schema).parquet(path)
 

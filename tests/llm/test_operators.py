@@ -714,3 +714,22 @@ def test_token_files(spark, docs, tmp_path, monkeypatch):
         start += len(ids)
     token_coder.write_ids(every.limit(0), f"file://{tmp_path}/none", path)
     assert token_coder.read_ids(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_shards_shuffle_the_texts_once(spark):
+    """Of the exchanges that lead to the shards, one carries the texts (op3 failed on disk with two)."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed, _, _ = sharding.shuffled(docs, [docs["doc_id"]], 8, 1)
+        plan = placed._jdf.queryExecution().executedPlan().initialPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+    def exchanges(node) -> int:
+        names = [node.output().apply(i).name() for i in range(node.output().size())]
+        inner = sum(exchanges(node.children().apply(i)) for i in range(node.children().size()))
+        return inner + (node.nodeName() == "Exchange" and "c1" in names)
+
+    assert exchanges(plan) == 1
