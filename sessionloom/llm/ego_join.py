@@ -22,6 +22,9 @@ from .common import components, drop, find_roots, materialize, spread_join
 
 #: Dimensions of the grid, vectors of a block, children of an interval, vectors compared at once.
 DIMENSIONS, BLOCK, FAN, BASE = 6, 1024, 8, 256
+#: Blocks that are broadcast at once.
+CHUNK = 64
+FOUND = "node long, value long, edge boolean"
 #: Vectors that the principal dimensions are fitted on at most; all vectors are indexed, and any dimensions give whole results.
 FIT_ROWS = 10_000
 
@@ -168,10 +171,9 @@ def links(vectors: DataFrame, cosine: float = 0.95) -> tuple[DataFrame, DataFram
     drop(vectors.sparkSession, placed_at)
     most = blocks.agg(F.max("block")).first()[0]
     pairs = _pairs(blocks.select("length", "block", "low", "high"), 1 if most is None else most + 1, epsilon)
+    pairs, pairs_at = materialize(pairs, "block_pairs")
     a = blocks.select(F.col("length").alias("ln"), F.col("block").alias("a_"), F.struct("ids", "weights", "raw", "at", "single").alias("side_a"))
     b = blocks.select(F.col("length").alias("rn"), F.col("block").alias("b_"), F.struct("ids", "weights", "raw", "at", "single").alias("side_b"))
-    both = pairs.hint("shuffle_merge").join(a, (pairs.a == a.a_) & (pairs.length == a.ln)).join(b, (F.col("b") == b.b_) & (F.col("length") == b.rn))
-    both = both.select("a", "b", "side_a", "side_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +187,18 @@ def links(vectors: DataFrame, cosine: float = 0.95) -> tuple[DataFrame, DataFram
                 kind = np.concatenate([np.zeros(some.sum() + other.sum(), bool), np.ones(len(u), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(more), pa.array(kind)], ["node", "value", "edge"])
 
-    found, _ = materialize(both.mapInArrow(run, "node long, value long, edge boolean"), "pairs")
-    drop(vectors.sparkSession, blocks_at)
+    # A block meets as many others as there are, so pairs of blocks with their vectors are no shuffle: CHUNK blocks at a time are
+    # broadcast, and all others pass by them where they are read.
+    found = None
+    for first in range(0, 0 if most is None else most + 1, CHUNK):
+        own = pairs.where(F.col("b").between(first, first + CHUNK - 1))
+        both = a.join(F.broadcast(own), (F.col("a") == F.col("a_")) & (F.col("length") == F.col("ln")))
+        both = both.join(F.broadcast(b.where(F.col("b_").between(first, first + CHUNK - 1))), (F.col("b") == F.col("b_")) & (F.col("length") == F.col("rn")))
+        part, _ = materialize(both.select("a", "b", "side_a", "side_b").mapInArrow(run, FOUND), "pairs")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], FOUND)
+    drop(vectors.sparkSession, blocks_at, pairs_at)
     counts = found.where("not edge").groupBy("node").agg(F.sum("value").alias("n"))
     return counts, found.where("edge").select(F.col("node").alias("u"), F.col("value").alias("v"))
 

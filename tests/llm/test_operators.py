@@ -733,3 +733,29 @@ def test_shards_shuffle_the_texts_once(spark):
         return inner + (node.nodeName() == "Exchange" and "c1" in names)
 
     assert exchanges(plan) == 1
+
+
+def test_ego_join_never_shuffles_pairs_of_blocks(spark, monkeypatch):
+    """Blocks meet through broadcasts: a shuffle of pairs with their vectors grows with the square of the table."""
+    kept, carried = ego_join.materialize, []
+
+    def exchanged(node) -> set:
+        own = {node.output().apply(i).name() for i in range(node.output().size())} if node.nodeName() == "Exchange" else set()
+        return own.union(*(exchanged(node.children().apply(i)) for i in range(node.children().size())))
+
+    def watch(df, name):
+        if name == "pairs":
+            carried.append(exchanged(df._jdf.queryExecution().executedPlan().initialPlan()) & {"side_a", "side_b"})
+        return kept(df, name)
+
+    monkeypatch.setattr(ego_join, "BLOCK", 8)
+    monkeypatch.setattr(ego_join, "CHUNK", 3, raising=False)
+    monkeypatch.setattr(ego_join, "materialize", watch)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(20, 12))
+    near = np.concatenate([base + 0.08 * rng.normal(size=base.shape) for _ in range(4)]).astype(np.float32)
+    got = ego_join.near_duplicates(spark.createDataFrame([(i, x) for i, x in enumerate(near.tolist())], "vec_id long, embedding array<float>")).collect()
+    unit = ego_join._unit(near.astype(float))
+    links = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist())) and links.sum() > 0
+    assert len(carried) > 1 and not set().union(*carried)
