@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,28 +205,6 @@ def _verify(segment: int, distance: int):
     return _by_key(run)
 
 
-def _foreign(distance: int):
-    """(u, v, d): pairs of fetched fingerprints with other labels and their distances, from rows sorted by key."""
-
-    def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, node, fp, probe, label = rows["key"].to_numpy(), rows["node"].to_numpy(), _words(rows["fp"]), rows["probe"].to_numpy(), rows["label"].to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
-            if b - a < 2 or probe[a:b].all():
-                continue
-            table = a + np.flatnonzero(~probe[a:b])
-            for i in range(0, len(table), BLOCK):
-                for j in range(a, b, BLOCK):
-                    own, other = table[i : i + BLOCK], slice(j, min(b, j + BLOCK))
-                    far = _distances(fp[own][:, None], fp[other][None])
-                    x, y = np.nonzero((far <= distance) & (label[own][:, None] != label[other][None]))
-                    if len(x):
-                        u, v = node[own[x]], node[other][y]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(far[x, y].astype(np.int32))], ["u", "v", "d"])
-
-    return _by_key(run)
-
-
 def _by_key(of_rows):
     """of_rows over rows sorted by key.  A key may run over several batches; only its rows are held."""
 
@@ -288,38 +266,96 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.where(both >= similarity * (F.col("m") + F.col("n") - both)).select("u", "v")
 
 
-#: Rounds in which a document is compared with its nearest one of other labels only, before all of them are.
-NEAREST = 2
+#: Documents and shingles of a tile at most; shingles of more of a tile's documents than RARE are counted by matrix products.
+TILE, TILE_SHINGLES, RARE = 1024, 1 << 20, 16
+
+
+def _common(sets: pa.ListArray) -> np.ndarray:
+    """How many elements each two of the sets have in common."""
+    n = len(sets)
+    flat, row = sets.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), sets.value_lengths().to_numpy(zero_copy_only=False))
+    order = np.lexsort((row, flat))
+    flat, row = flat[order], row[order]
+    first = np.flatnonzero(np.concatenate([flat[:1] == flat[:1], flat[1:] != flat[:-1]]))
+    times = np.diff(np.append(first, len(flat)))
+    out = np.zeros(n * n)
+    for c in range(2, min(RARE, n) + 1):
+        x, y = np.triu_indices(c, 1)
+        own = first[times == c]
+        step = max(1, 4_000_000 // len(x))
+        for k in range(0, len(own), step):
+            who = row[own[k : k + step, None] + np.arange(c)]
+            out += np.bincount((who[:, x] * n + who[:, y]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    out += out.T
+    often = np.flatnonzero(times > RARE)
+    for k in range(0, len(often), 2048):
+        own = often[k : k + 2048]
+        column = np.repeat(np.arange(len(own)), times[own])
+        at = np.repeat(first[own] - np.cumsum(times[own]) + times[own], times[own]) + np.arange(len(column))
+        has = np.zeros((n, len(own)), np.float32)
+        has[row[at], column] = 1
+        out += has @ has.T
+    return out
+
+
+def _within(similarity: float):
+    """The links of a group of documents as stars: each two sets are compared, only a spanning forest leaves."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        u = v = np.zeros(0, np.int64)
+        if len(rows["label"].unique()) > 1:
+            node, size = rows["node"].to_numpy(), rows["size"].to_numpy().astype(float)
+            both = _common(rows["shingles"].combine_chunks())
+            x, y = np.nonzero(np.triu(both >= similarity * (size[:, None] + size[None] - both), 1))
+            if len(x):
+                u, v = find_roots(node[x], node[y])
+        return pa.table({"u": u[u != v], "v": v[u != v]})
+
+    return run
+
+
+def _across(parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Stars (u, v) of all links between nodes of one root: parts has (node, root, label), sets as of _shingle_sets().
+
+    Linked sets have sizes of one class or of neighbouring ones.  A class of a root is dealt out in tiles, and each two tiles
+    of one class or of neighbouring classes meet in a task: no pair of documents is ever a row."""
+    width = float(-np.log(similarity)) * (1 + 1e-9)
+    rows = parts.join(sets.select("node", "size").where("size > 0"), "node").withColumn("class", F.floor(F.log("size") / width))
+    rows, _ = materialize(rows.select("node", "root", "label", "size", "class"), "open")
+    counts = rows.groupBy("root", "class").agg(F.count("*").alias("n"), F.max("size").alias("most"))
+    counts = counts.withColumn("tiles", F.ceil(F.greatest(F.col("n") / TILE, F.col("n") * F.col("most") / TILE_SHINGLES)).cast("long"))
+    order = Window.partitionBy("root").orderBy("class")
+    beside = lambda f, step: F.coalesce(F.when(f("class", 1).over(order) == F.col("class") + step, f("tiles", 1).over(order)), F.lit(0))
+    counts, _ = materialize(counts.select("root", "class", "n", "tiles", beside(F.lead, 1).alias("up"), beside(F.lag, -1).alias("down")), "tiles")
+    rows = spread_join(rows, counts, ["root", "class"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+
+    def keys(n: str, of) -> Column:
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), of)).otherwise(F.array())
+
+    group = lambda c, kind, a, b: F.struct(c.cast("long").alias("c"), F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    c, tile = F.col("class"), F.col("tile")
+    own = F.when((F.col("tiles") > 1) | (F.col("up") + F.col("down") == 0), keys("tiles", lambda k: group(c, 0, F.least(tile, k), F.greatest(tile, k)))).otherwise(F.array())
+    every = F.concat(own, keys("up", lambda k: group(c, 1, tile, k)), keys("down", lambda k: group(c - 1, 1, k, tile)))
+    dealt = rows.select("node", "root", "label", F.explode(every).alias("g")).select("node", "label", "root", "g.*")
+    dealt = dealt.join(sets, "node").select("root", "c", "kind", "a", "b", "node", "label", "size", "shingles")
+    return dealt.groupBy("root", "c", "kind", "a", "b").applyInArrow(_within(similarity), "u long, v long")
 
 
 def _similar_components(docs: DataFrame, groups: DataFrame, segment: int, distance: int, words: int, similarity: float, text: str) -> DataFrame:
-    """(node, root) of the components of all fetched pairs that have the similarity.
+    """(node, root) of the components of all pairs that have the similarity and whose fingerprints links join.
 
-    First the spanning forests of the fetched pairs are verified.  Where that leaves parts of one forest apart, pairs across
-    the parts are verified: each node's nearest, then all that are left.  Pairs inside of a part change nothing."""
+    First the spanning forests of the fetched pairs are verified.  Where that leaves parts of one forest apart, all its
+    documents are compared, tile by tile."""
     near, _ = materialize(links(groups, segment, distance, True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near")
     whole, _ = materialize(components(near), "whole")
     sets, _ = materialize(_shingle_sets(docs, groups.join(whole, "node").select("node", "text_hash"), words, text), "sets")
-    tested, (linked, _) = near, materialize(_similar(near, sets, similarity), "linked")
-    for step in range(NEAREST + 1):
-        parts = whole.join(components(linked).withColumnRenamed("root", "part"), "node", "left").withColumn("label", F.coalesce("part", "node"))
-        parts, _ = materialize(parts.select("node", "root", "label"), "parts")
-        split = parts.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("root")
-        open_, _ = materialize(groups.select("node", "fp").join(parts.join(split, "root").select("node", "label"), "node"), "open")
-        if open_.isEmpty():
-            break
-        rows = open_.mapInArrow(_balls(segment, True), "key long, node long, fp binary, probe boolean, label long")
-        pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_foreign(distance), "u long, v long, d int")
-        pairs = pairs.groupBy("u", "v").agg(F.min("d").alias("d")).join(tested, ["u", "v"], "left_anti")
-        if step < NEAREST:
-            ends = pairs.select(F.explode(F.array(F.struct("u", F.struct("d", "u", "v").alias("p")), F.struct(F.col("v").alias("u"), F.struct("d", "u", "v").alias("p")))).alias("e"))
-            pairs = ends.groupBy("e.u").agg(F.min("e.p").alias("p")).select("p.u", "p.v").distinct()
-        pairs, _ = materialize(pairs.select("u", "v"), "pairs")
-        if pairs.isEmpty():
-            break
-        linked, _ = materialize(linked.unionByName(_similar(pairs, sets, similarity)), "linked")
-        tested = tested.unionByName(pairs)
-    return components(linked)
+    linked, _ = materialize(_similar(near, sets, similarity), "linked")
+    parts = whole.join(components(linked).withColumnRenamed("root", "part"), "node", "left").withColumn("label", F.coalesce("part", "node"))
+    parts, _ = materialize(parts.select("node", "root", "label"), "parts")
+    split = parts.groupBy("root").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("root")
+    found, _ = materialize(_across(parts.join(split, "root").select("node", "root", "label"), sets, similarity), "across")
+    return components(linked.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, bits: int = 320, segment: int = 20, distance: int = 55, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None) -> DataFrame:

@@ -759,3 +759,35 @@ def test_ego_join_never_shuffles_pairs_of_blocks(spark, monkeypatch):
     links = (unit @ unit.T >= 0.95).sum(1) - 1
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(links.tolist())) and links.sum() > 0
     assert len(carried) > 1 and not set().union(*carried)
+
+
+def test_dense_groups_below_the_similarity_make_no_pairs(spark, monkeypatch):
+    """Near copies whose fingerprints link and whose shingles don't: the result is that of all pairs, and no table of pairs
+    is written (the pipeline's near_duplicates failed by a row for each pair)."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"x{rng.random()}"
+        return " ".join(out)
+
+    texts = [changed(base, 11) for _ in range(60)]
+    texts += [t.rsplit(" ", 3)[0] for t in texts[::6]]
+    kept, rows = simhash.materialize, {}
+
+    def watch(df, name):
+        out = kept(df, name)
+        rows[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", watch)
+    monkeypatch.setattr(simhash, "TILE", 9, raising=False)
+    monkeypatch.setattr(simhash, "RARE", 4, raising=False)
+    label = brute_similar(list(enumerate(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = simhash.near_duplicates(docs, distance=68, similarity=0.8).collect()
+    assert {r.doc_id: r.component_id for r in got} == label
+    assert len(set(r.component_id for r in got)) == 60
+    assert max(rows.values()) <= 4 * len(texts)
