@@ -268,48 +268,56 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 #: Documents and shingles of a tile at most; shingles of more of a tile's documents than RARE are counted by matrix products.
 TILE, TILE_SHINGLES, RARE = 1024, 1 << 20, 16
+#: Documents of a group whose links are held at once.
+STRIPE = 128
 
 
 def _common(sets: pa.ListArray) -> np.ndarray:
-    """How many elements each two of the sets have in common."""
+    """How many elements each two of the sets have in common: [i, j] for i < j, as 32-bit floats, exact below 2**24."""
     n = len(sets)
     flat, row = sets.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), sets.value_lengths().to_numpy(zero_copy_only=False))
     order = np.lexsort((row, flat))
     flat, row = flat[order], row[order]
     first = np.flatnonzero(np.concatenate([flat[:1] == flat[:1], flat[1:] != flat[:-1]]))
     times = np.diff(np.append(first, len(flat)))
-    out = np.zeros(n * n)
+    out = np.zeros((n, n), np.float32)
     for c in range(2, min(RARE, n) + 1):
         x, y = np.triu_indices(c, 1)
         own = first[times == c]
-        step = max(1, 4_000_000 // len(x))
+        step = max(1, 500_000 // len(x))
         for k in range(0, len(own), step):
             who = row[own[k : k + step, None] + np.arange(c)]
-            out += np.bincount((who[:, x] * n + who[:, y]).ravel(), minlength=n * n)
-    out = out.reshape(n, n)
-    out += out.T
+            np.add.at(out.ravel(), (who[:, x] * n + who[:, y]).ravel(), np.float32(1))
     often = np.flatnonzero(times > RARE)
-    for k in range(0, len(often), 2048):
-        own = often[k : k + 2048]
+    for k in range(0, len(often), 1024):
+        own = often[k : k + 1024]
         column = np.repeat(np.arange(len(own)), times[own])
         at = np.repeat(first[own] - np.cumsum(times[own]) + times[own], times[own]) + np.arange(len(column))
         has = np.zeros((n, len(own)), np.float32)
         has[row[at], column] = 1
-        out += has @ has.T
+        for i in range(0, n, STRIPE):
+            out[i : i + STRIPE, i:] += has[i : i + STRIPE] @ has[i:].T
     return out
 
 
 def _within(similarity: float):
-    """The links of a group of documents as stars: each two sets are compared, only a spanning forest leaves."""
+    """The links of a group of documents as stars: each two sets are compared, only a spanning forest leaves.
+
+    Beside the counts, only the links of a stripe of documents are held at a time."""
 
     def run(rows: pa.Table) -> pa.Table:
         u = v = np.zeros(0, np.int64)
         if len(rows["label"].unique()) > 1:
             node, size = rows["node"].to_numpy(), rows["size"].to_numpy().astype(float)
             both = _common(rows["shingles"].combine_chunks())
-            x, y = np.nonzero(np.triu(both >= similarity * (size[:, None] + size[None] - both), 1))
-            if len(x):
-                u, v = find_roots(node[x], node[y])
+            for i in range(0, len(node), STRIPE):
+                own, least = both[i : i + STRIPE, i:].astype(float), size[i : i + STRIPE, None]
+                x, y = np.nonzero(np.triu(own >= similarity * (least + size[None, i:] - own), 1))
+                if len(x):
+                    u, v = find_roots(np.concatenate([u, node[i + x]]), np.concatenate([v, node[i + y]]))
+            if len(node) > STRIPE:
+                del both
+                release()
         return pa.table({"u": u[u != v], "v": v[u != v]})
 
     return run

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -791,3 +792,21 @@ def test_dense_groups_below_the_similarity_make_no_pairs(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == label
     assert len(set(r.component_id for r in got)) == 60
     assert max(rows.values()) <= 4 * len(texts)
+
+
+def test_a_tile_of_links_is_compared_in_little_memory():
+    """Counts and links of 2048 similar documents: at most 16 bytes for each two of them are held at once (72 before)."""
+    n, m = 2048, 60
+    values = np.random.default_rng(5).integers(0, 1 << 62, m + n)
+    sets = [np.sort(np.append(values[:m], values[m + i])) for i in range(n)]
+    rows = pa.table({"node": np.arange(n), "label": np.arange(n), "size": np.full(n, m + 1), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    tracemalloc.start()
+    try:
+        found = simhash._within(0.8)(rows)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(found["u"].to_pylist()) == list(range(1, n)) and set(found["v"].to_pylist()) == {0}
+    assert most < 16 * n * n, most
+    apart = simhash._within(0.99)(rows)
+    assert apart.num_rows == 0
