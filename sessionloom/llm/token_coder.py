@@ -17,6 +17,7 @@ words.  All is little endian.  Segments are the rows of a Parquet table, in orde
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ BLOCK, SEGMENT, SLOTS = 4096, 1 << 22, 1 << 12
 #: Bits of the mixing weights.  Successors of an id that occur less often than LEAST are left to order 0.
 MIX, LEAST = 12, 2
 KEPT = 1 << 18
+#: New stretches that the library is asked for as one text, and characters of texts that are encoded at once, about.
+TOGETHER, AT_ONCE = 64, 4 << 20
 _ONE = 1 << MIX
 _LOW = np.uint64(32)
 _ROOM = np.uint64(1 << 32)
@@ -309,29 +313,12 @@ def decode_segment(raw: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
     return doc_ids, np.split(np.concatenate(parts), np.cumsum(lengths)[:-1])
 
 
-class _Kept(dict):
-    """Ids of stretches, in two generations: what isn't asked for while KEPT others come goes."""
-
-    def __init__(self):
-        super().__init__()
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.old[word]
-        return found
-
-    def turn(self) -> None:
-        if len(self) > KEPT:
-            self.old = dict(self)
-            self.clear()
-
-
 class Tokens:
     """A tokenizer of the tokenizers library, asked once for each stretch between spaces.
 
     Its pre-tokenizer never joins what stands before a space or around a line end with what follows, so a text whose white
     space is single spaces and line ends, none of them first or last, is encoded stretch by stretch; any other text goes to
-    the library as a whole."""
+    the library as a whole.  Ids of stretches are kept in two generations: what isn't asked for while KEPT others come goes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -339,32 +326,84 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.kept = _Kept()
+        vocabulary = self.tokenizer.get_vocab()
+        #: Octets of each id: a byte-level token has a character for each.
+        self.octets = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.octets[i] = len(token)
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        kept = self.kept
-        kept.turn()
-        stretches = [_stretches(t) for t in texts]
-        new: set[str] = set()
-        for s in stretches:
-            new.update(s or ())
-        new = [w for w in new if w not in kept and w not in kept.old]
-        for i in range(0, len(new), 20_000):
-            for w, e in zip(new[i : i + 20_000], self.batch(new[i : i + 20_000], add_special_tokens=False), strict=True):
-                kept[w] = array("I", e.ids).tobytes()
-        return [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) if s is None else np.frombuffer(b"".join(map(kept.__getitem__, s)), np.uint32) for s, x in zip(stretches, texts, strict=True)]
-
-
-def _stretches(text: str) -> list[str] | None:
-    """The text cut before each space and around each line end; None if its white space isn't as plain as that."""
-    if not text:
-        return []
+        marked = [_marked(t) for t in texts]
+        sizes = [0 if m is None else m.count("\0") + 1 for m in marked]
+        ids = self._plain([m for m in marked if m is not None], sizes)
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if t else [], np.uint32) if m is None else i for m, i, t in zip(marked, ids, texts, strict=True)]
+
+    def _plain(self, marked: list[str], sizes: list[int]) -> list[np.ndarray]:
+        """The ids of each text of that many stretches; texts of none have no ids."""
+        if not marked:
+            return [np.zeros(0, np.uint32)] * len(sizes)
+        whole = pa.array(["\0".join(marked)], pa.large_string())
+        stretches = pc.split_pattern(whole, "\0").flatten().dictionary_encode()
+        words = stretches.dictionary.to_pylist()
+        if len(self.kept) > KEPT:
+            self.kept, self.old = {}, self.kept
+        kept, old = self.kept, self.old
+        new = []
+        for w in words:
+            if w not in kept:
+                if w in old:
+                    kept[w] = old[w]
+                else:
+                    new.append(w)
+        self._ask(new)
+        found = [kept[w] for w in words]
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.uint32)))
+        lists = lists.take(stretches.indices)
+        starts = lists.offsets.to_numpy()
+        flat, at = lists.values.to_numpy(), starts[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _ask(self, new: list[str]) -> None:
+        """Keeps the ids of stretches.  Those that begin with a space go to the library side by side, TOGETHER at a time; its
+        ids are cut where the octets of each end, and where none ends there the library is asked for each alone."""
+        alone = [w for w in new if w[0:1] != " "]
+        spaced = [w for w in new if w[0:1] == " "]
+        for i in range(0, len(spaced), 200 * TOGETHER):
+            groups = [spaced[k : k + TOGETHER] for k in range(i, min(i + 200 * TOGETHER, len(spaced)), TOGETHER)]
+            for group, e in zip(groups, self.batch(["".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                ends = np.cumsum(self.octets[ids])
+                own = np.cumsum([len(w.encode()) for w in group])
+                at = np.searchsorted(ends, own)
+                if not len(ends) or ends[-1] != own[-1] or (ends[at] != own).any():
+                    alone += group
+                    continue
+                raw, cut = ids.tobytes(), (4 * at + 4).tolist()
+                self.kept.update(zip(group, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+        for i in range(0, len(alone), 20_000):
+            for w, e in zip(alone[i : i + 20_000], self.batch(alone[i : i + 20_000], add_special_tokens=False), strict=True):
+                self.kept[w] = array("I", e.ids).tobytes()
+
+
+#: White space but the space and the line end; all of it is unprintable.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+def _marked(text: str) -> str | None:
+    """The text with a zero before each space and around each line end; None if it is empty or its white space isn't as plain
+    as that."""
     lines = text.count("\n")
-    if "\0" in text or len(text.split()) != text.count(" ") + lines + 1:
+    if not text or "\0" in text or len(text.split()) != text.count(" ") + lines + 1:
+        return None
+    # a line end beside a no-break space is one stretch of white space to the library, and the count above can't tell
+    if not (text.replace("\n", " ") if lines else text).isprintable() and _OTHER_SPACE.search(text):
         return None
     if lines:
         text = text.replace("\n", "\0\n\0")
-    return text.replace(" ", "\0 ").split("\0")
+    return text.replace(" ", "\0 ")
 
 
 @lru_cache(maxsize=1)
@@ -372,6 +411,12 @@ def _tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
+def _at_once(texts: pa.Array) -> list[int]:
+    """How many rows at a time have AT_ONCE octets together, about."""
+    group = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+    return np.unique(group, return_counts=True)[1].tolist()
+
+
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, text: str = "text", doc_id: str = "doc_id") -> None:
     """Writes the ids of all texts, each with end_id after it, as a table of segments in ascending order of doc_id.
 
@@ -392,8 +437,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
+            at = 0
+            for n in _at_once(batch.column(1)):
+                rows, at = batch.slice(at, n), at + n
                 part = rows.column(2)[0].as_py()
                 for i, t in zip(rows.column(0).to_pylist(), coder.encode([x or "" for x in rows.column(1).to_pylist()]), strict=True):
                     ids.append(i)

@@ -810,3 +810,19 @@ def test_a_tile_of_links_is_compared_in_little_memory():
     assert most < 16 * n * n, most
     apart = simhash._within(0.99)(rows)
     assert apart.num_rows == 0
+
+
+def test_tokens_are_those_of_the_library():
+    """Stretches asked for side by side, and white space that is neither a space nor a line end: a no-break space beside a
+    line end was cut from it, which the library does not do."""
+    import public_tokenizers
+
+    tokens = token_coder.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    parts = ["a", "'s", " ", "\n", "\xe9", "<|endoftext|>", "1", "|", "the", "\xa0", "\u65e5", "\x85", "\r", "\t", "\u2028", "\x1c", "\u3000", "\xad"]
+    texts = ["", " ", "\n", "a\n\xa0b", "'s\n\xa0\xa0\xe9", "a\n\u3000b c", "a <|endoftext|> b", " a", "a ", "\0", "a\0b"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 20))) for _ in range(1000)]
+    texts += [" ".join(rng.choice(["the", "of", "x|", "\xe9t\xe9", "\u65e5\u672c", "don't", "<|endoftext|>"]) + str(rng.randint(0, 300)) for _ in range(50)) + "\nEnd." for _ in range(20)]
+    for _ in range(2):
+        got = tokens.encode(texts)
+        assert [x.tolist() for x in got] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
